@@ -23,7 +23,7 @@ import sys
 from functools import lru_cache
 
 #: Chunks kept by a worker, and the longest chunk kept, in characters.
-CACHE_ENTRIES, CACHE_CHARS = 1_000_000, 64
+CACHE_ENTRIES, CACHE_CHARS = 400_000, 64
 
 _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _LINES = re.compile(r"\S+(?:\n\S+)+")

@@ -177,8 +177,8 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
             return incumbent
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids_crc32 and ids (binary) of every piece of every row.
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
+    """doc_id, piece, start, length, ids_crc32 and, if asked for, ids (binary) of every piece of every row.
 
     Null text is empty: one piece with the end id.  Repeated rows give their pieces again.
     """
@@ -192,7 +192,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: int =
                 ids = enc.encode(text.as_py() or "") + end
                 for k, at in enumerate(range(0, len(ids), step)):
                     part = ids[at : at + step]
-                    out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part))
+                    out.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), part if with_ids else None))
                 held += len(ids)
                 if held > 8 << 20:
                     yield _pieces(out)
@@ -250,5 +250,5 @@ def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 0, capacity: i
 
     The pieces' places are staged before packing, so no text is encoded twice.
     """
-    pieces = staged(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col).drop("ids"), "pieces")
+    pieces = staged(cut_pieces(docs, tokenizer, end_id, capacity, id_col, text_col, with_ids=False).drop("ids"), "pieces")
     return assign_sequences(pieces, capacity)

@@ -222,6 +222,10 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
     rows.mapInArrow(shard, "section binary").select(F.col("section").cast("string")).write.text(path)
 
 
+def _shards(spark, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
+
+
 def read_token_shards(spark, path: str) -> DataFrame:
     """One row per document, from the shards alone: shard, position there, doc_id, ids (binary,
     little-endian unsigned 32-bit)."""
@@ -240,8 +244,7 @@ def read_token_shards(spark, path: str) -> DataFrame:
                         rows, size = [], 0
                 yield _entries(rows)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("path", "content")
-    return files.mapInArrow(entries, "shard string, position long, doc_id long, ids binary")
+    return _shards(spark, path).mapInArrow(entries, "shard string, position long, doc_id long, ids binary")
 
 
 def _entries(rows: list[tuple]) -> pa.RecordBatch:
@@ -260,19 +263,21 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     write_token_shards(docs, path, tokenizer, end_id)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, at = None, 0
         for b in batches:
-            starts, sizes, crcs = [], [], []
-            for shard, ids in zip(b.column(0).to_pylist(), b.column(3), strict=True):
-                ids = ids.as_py()
-                name, at = shard, at if shard == name else 0
-                starts.append(at)
-                sizes.append(len(ids) // 4)
-                crcs.append(zlib.crc32(ids))
-                at += len(ids) // 4
-            yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())], ["shard", "position", "doc_id", "own_start", "n_tokens", "ids_crc32"])
-
-    found = staged(read_token_shards(spark, path).mapInArrow(digest, "shard string, position long, doc_id long, own_start long, n_tokens long, ids_crc32 long"), "token-index")
+            for name, content in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                content, at = content.as_py(), 0
+                docs, starts, sizes, crcs = [], [], [], []
+                shard = ShardReader.of(content) if content else ()
+                for key, value in shard:
+                    ids = shard.ids(value).astype("<u4")
+                    docs.append(id_of(key))
+                    starts.append(at)
+                    sizes.append(len(ids))
+                    crcs.append(zlib.crc32(ids))
+                    at += len(ids)
+                yield pa.record_batch([pa.array([name] * len(docs), pa.string()), *[pa.array(c, pa.int64()) for c in (docs, starts, sizes, crcs)]], ["shard", "doc_id", "own_start", "n_tokens", "ids_crc32"])
+
+    found = staged(_shards(spark, path).mapInArrow(digest, "shard string, doc_id long, own_start long, n_tokens long, ids_crc32 long"), "token-index")
     sizes = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
     base = sizes.selectExpr("shard", "sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS base")
     return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("own_start")).cast("long").alias("start"), "n_tokens", "ids_crc32", "shard")

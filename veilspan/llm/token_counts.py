@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 #: Pre-tokens kept by a worker; the longest kept, in characters; above SEGMENT, a pre-token is cut
 #: between characters that no piece holds side by side, and what is still longer is merged by a heap.
-CACHE_ENTRIES, CACHE_CHARS, SEGMENT = 1_000_000, 64, 256
+CACHE_ENTRIES, CACHE_CHARS, SEGMENT = 500_000, 64, 256
 
 _RUNS = re.compile(f"{MARK}*[^{MARK}\n]+|{MARK}+|\n")
 
