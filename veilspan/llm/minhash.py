@@ -9,7 +9,8 @@ with rank + uniform as the value, so an element's ranks differ between slots.  L
 elements of a batch at once and stop for a document as soon as no later rank can lower a slot.
 
 Links are sought in two turns over the buckets of equal bands.  First every member is compared with
-its bucket's leader, the member that shares the most buckets' company: a row per member.  Then, in
+the leader of its bucket, and of each narrower bucket (several equal bands in a row) within it: the
+member that shares the most buckets' company.  That is a fixed number of rows per member.  Then, in
 buckets that still hold more than one component, members outside the largest one are compared with
 all members of other components whose size and signature allow the similarity.  A pair within one
 component adds nothing, so no pair of a bucket that could join two components is left out, and
@@ -23,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import staged
@@ -32,6 +33,8 @@ from veilspan.llm.components import components
 #: A pair of similarity 0.75 misses all bands with a chance of (1 - 0.75**4)**32 = 5e-6.
 SHINGLE_WORDS, PERCENT, BANDS, ROWS = 5, 75, 32, 4
 SLOTS = BANDS * ROWS
+#: Bands in a row whose equality makes a narrower bucket, for leaders among closer members.
+NARROW = (2, 4, 8)
 #: Of equal slots, at least, to verify a pair of the second turn: 0.75 less five standard deviations.
 LEAST_EQUAL = int(SLOTS * (0.75 - 5 * (0.75 * 0.25 / SLOTS) ** 0.5))
 
@@ -136,8 +139,8 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return rows.mapInArrow(sketched, "doc_id long, n_shingles long, node binary, bands array<long>, signature array<int>")
 
 
-def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(node, elements) of the documents whose ids are in ``wanted``; a row for each node."""
+def _full_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, elements) of the nodes in ``names``, from the whole texts of documents that stand for them."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -146,9 +149,15 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -
                 found = [s for s in found if len(s)]
                 yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "elements"])
 
+    wanted = nodes.select("node", F.col("least_id").alias("wanted")).join(names, "node", "left_semi").select("wanted").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text"))
     rows = rows.join(wanted, rows["i"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
-    return rows.mapInArrow(sets, "node binary, elements array<long>").dropDuplicates(["node"])
+    return staged(rows.mapInArrow(sets, "node binary, elements array<long>").dropDuplicates(["node"]), "full-sets")
+
+
+def _similar(a: str, b: str, percent: int) -> Column:
+    common = F.size(F.array_intersect(a, b))
+    return common * 100 >= (F.size(a) + F.size(b) - common) * percent
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -168,10 +177,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     company = buckets.groupBy("bucket").agg(F.count("*").alias("c")).where("c > 1")
     members = staged(buckets.join(company, "bucket"), "members")
-    ranked = members.join(members.groupBy("node").agg(F.sum("c").alias("s")), "node")
-    leaders = ranked.groupBy("bucket").agg(F.max(F.struct("s", "node", "n")).alias("l")).select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
+    crowd = members.groupBy("node").agg(F.sum("c").alias("s"))
+    # the same members in narrower buckets, of two bands and more in a row
+    narrow = nodes.join(crowd, "node").select("node", "n", "s", "bands")
+    ring = F.concat("bands", "bands")
+    joined = [F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k, w=w: F.xxhash64(F.slice(ring, k, F.lit(w)), k)) for w in NARROW]
+    narrow = narrow.select("node", "n", "s", F.explode(F.concat(*joined)).alias("bucket")).unionByName(members.join(crowd, "node").select("node", "n", "s", "bucket"))
+    narrow = staged(narrow, "ranked")
+    leaders = narrow.groupBy("bucket").agg(F.max(F.struct("s", "node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
     fits = F.least("n", "leader_n") * 100 >= F.greatest("n", "leader_n") * percent
-    pairs = members.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    pairs = narrow.join(leaders, "bucket").where((F.col("node") != F.col("leader")) & fits).select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     pairs = staged(pairs, "leader-pairs")
     links = _verified(docs, nodes, pairs, percent, id_col, text_col)
     found = components(links)
@@ -180,21 +195,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.join(found, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     shares = placed.groupBy("bucket", "root").agg(F.count("*").alias("c"))
     mixed = shares.groupBy("bucket").agg(F.max(F.struct("c", "root"))["root"].alias("main"), F.count("*").alias("k")).where("k > 1").select("bucket", "main")
-    mixed = staged(placed.join(mixed, "bucket").join(nodes.select("node", "signature"), "node"), "mixed-buckets")
-    x = mixed.where("root <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in ("node", "n", "root", "signature")])
-    y = mixed.select("bucket", "main", *[F.col(c).alias(f"y_{c}") for c in ("node", "n", "root", "signature")])
+    mixed = staged(placed.join(mixed, "bucket").join(nodes.select("node", "signature", "bands"), "node"), "mixed-buckets")
+    fields = ("node", "n", "root", "signature", "bands")
+    x = mixed.where("root <> main").select("bucket", *[F.col(c).alias(f"x_{c}") for c in fields])
+    y = mixed.select("bucket", "main", *[F.col(c).alias(f"y_{c}") for c in fields])
     equal = F.aggregate(F.zip_with("x_signature", "y_signature", lambda p, q: (p == q).cast("int")), F.lit(0), lambda s, v: s + v)
+    # of all buckets that a pair shares, the first brings it up
+    first = F.element_at(F.filter(F.zip_with("x_bands", "y_bands", lambda p, q: F.when(p == q, p)), lambda p: p.isNotNull()), 1)
     may_link = (
-        (F.col("x_root") != F.col("y_root"))
+        (F.col("x.bucket") == F.col("y.bucket"))
+        & (F.col("x_root") != F.col("y_root"))
         & ((F.col("y_root") == F.col("main")) | (F.col("x_node") < F.col("y_node")))
         & (F.least("x_n", "y_n") * 100 >= F.greatest("x_n", "y_n") * percent)
+        & (first == F.col("x.bucket"))
         & (equal >= LEAST_EQUAL)
     )
-    x_, y_ = x.alias("x"), y.alias("y")
-    rest = x_.join(y_, (F.col("x.bucket") == F.col("y.bucket")) & may_link).select(F.least("x_node", "y_node").alias("a"), F.greatest("x_node", "y_node").alias("b")).distinct()
-    rest = staged(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        more = _verified(docs, nodes, rest, percent, id_col, text_col)
+    # members with a partner of that kind, at most a row each; then their links, compared on full
+    # sets within the join, which gives links alone and no row for a pair that is none
+    x, y = x.alias("x"), y.alias("y")
+    x, y = staged(x.join(y, may_link, "left_semi"), "rest-x"), staged(y.join(x, may_link, "left_semi"), "rest-y")
+    if not x.isEmpty():
+        names = x.select(F.col("x_node").alias("node")).unionByName(y.select(F.col("y_node").alias("node"))).distinct()
+        sets = _full_sets(docs, nodes, names, id_col, text_col)
+        x = x.join(sets.select(F.col("node").alias("x_node"), F.col("elements").alias("x_elements")), "x_node").alias("x")
+        y = y.join(sets.select(F.col("node").alias("y_node"), F.col("elements").alias("y_elements")), "y_node").alias("y")
+        more = x.join(y, may_link & _similar("x_elements", "y_elements", percent)).select(F.col("x_node").alias("a"), F.col("y_node").alias("b"))
+        more = staged(more, "rest-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
     named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
@@ -208,9 +234,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
     """Of candidate pairs of nodes, those whose full sets are similar enough."""
     both = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", F.col("least_id").alias("wanted")).join(both, "node", "left_semi").select("wanted").distinct()
-    sets = staged(_full_sets(docs, wanted, id_col, text_col), "full-sets")
+    sets = _full_sets(docs, nodes, both, id_col, text_col)
     a, b = (sets.select(F.col("node").alias(c), F.col("elements").alias(f"{c}_elements")) for c in "ab")
-    common = F.size(F.array_intersect("a_elements", "b_elements"))
-    similar = common * 100 >= (F.size("a_elements") + F.size("b_elements") - common) * percent
-    return staged(pairs.join(a, "a").join(b, "b").where(similar).select("a", "b"), "links")
+    return staged(pairs.join(a, "a").join(b, "b").where(_similar("a_elements", "b_elements", percent)).select("a", "b"), "links")
