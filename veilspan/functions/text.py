@@ -1,0 +1,87 @@
+"""Text normalisation, spans of pattern matches and log redaction as Columns."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+# Characters that normalisation drops and folds.
+DROPPED = "\u00ad\u200b\u200c\u200d\ufeff"
+SPACES = "\u00a0\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000\t"
+DASHES = "\u2010\u2011\u2012\u2013\u2014\u2015\u2212"
+DOUBLE_QUOTES = "\u00ab\u00bb\u201c\u201d\u201e\u201f"
+SINGLE_QUOTES = "\u2018\u2019\u201a\u201b"
+
+SPAN = "struct<start:int,end:int,text:string>"
+
+
+def normalize(text: Column) -> Column:
+    """Invisible characters dropped, spaces, dashes and quotes folded, runs of spaces squeezed."""
+    folded = F.translate(text, SPACES + DASHES + DOUBLE_QUOTES + SINGLE_QUOTES + DROPPED, " " * len(SPACES) + "-" * len(DASHES) + '"' * len(DOUBLE_QUOTES) + "'" * len(SINGLE_QUOTES))
+    return F.regexp_replace(folded, " {2,}", " ")
+
+
+def offset_map(text: Column) -> Column:
+    """For each character of ``normalize(text)`` its place in ``text``; at last the text's length."""
+    chars = F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c, i: F.struct(i.alias("i"), F.translate(c, SPACES, " " * len(SPACES)).alias("c")))
+    kept = F.filter(chars, lambda x: ~F.lit(DROPPED).contains(x["c"]))
+    first = F.filter(F.transform(kept, lambda x, k: F.struct(x["i"].alias("i"), ((x["c"] == " ") & (k > 0) & (F.try_element_at(kept, F.greatest(k, F.lit(1)))["c"] == " ")).alias("again"))), lambda x: ~x["again"])
+    return F.concat(F.transform(first, lambda x: x["i"]), F.array(F.char_length(text)))
+
+
+def to_original(start: Column, end: Column, offsets: Column, length: Column) -> tuple[Column, Column]:
+    """A span of the normalised text in the original, clamped."""
+    last = F.size(offsets) - 1
+    at = lambda i: F.least(F.get(offsets, F.least(F.greatest(i, F.lit(0)), last)), length)
+    return at(start), F.greatest(at(start), at(end))
+
+
+def spans(text: Column, pattern: str) -> Column:
+    """Every match of a pattern as (start, end, text), in code points: the gaps between matches and
+    the matches, put end to end in one fold.  No Python."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    gaps = F.split(text, pattern, -1)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def step(acc: Column, i: Column) -> Column:
+        begin = acc["at"] + F.char_length(F.get(gaps, i))
+        end = begin + F.char_length(F.get(found, i))
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("text"))).alias("out"))
+
+    many = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
+    return F.when(F.size(found) > 0, many).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+#: Ordered redactions of log lines: pattern, replacement.
+REDACTIONS = (
+    (r"(?i)\b(sk|api|key)[-_][A-Za-z0-9_-]{16,}", "[KEY]"),
+    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [TOKEN]"),
+    (r"(?i)\b(password|passwd|pwd|token|secret)\s*[=:]\s*\S+", "$1=[SECRET]"),
+    (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
+    (r"(?<!\d)\d{3}-\d{3}-\d{3}[ -]\d{2}(?!\d)", "[SNILS]"),
+    (r"(?<!\d)\d{20}(?!\d)", "[ACCOUNT]"),
+    (r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)", "[CARD]"),
+    (r"(?<![\w+])\+\d[\d ()-]{8,}\d", "[PHONE]"),
+    (r"(?i)(?:/home|/users|c:\\users)[/\\][^/\\\s]+", "[USER_PATH]"),
+)
+
+
+def sanitize_log(text: Column, longest: int | None = None) -> Column:
+    for pattern, mark in REDACTIONS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text if longest is None else F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest - 1), F.lit("…"))).otherwise(text)
+
+
+def replace_nth(text: Column, token: str, replacement: str, nth: int = 0) -> Column:
+    """Only the occurrence of that number (from 0); unchanged if there are fewer."""
+    parts = F.split(text, "\\Q" + token + "\\E", -1)
+    head, tail = F.array_join(F.slice(parts, 1, nth + 1), token), F.array_join(F.slice(parts, F.lit(nth + 2), F.greatest(F.size(parts) - nth - 1, F.lit(0))), token)
+    return F.when(F.size(parts) > nth + 1, F.concat(head, F.lit(replacement), tail)).otherwise(text)
+
+
+TOKEN = r"\[[A-Z][A-Z_]*_\d+\]"
+
+
+def placeholders(text: Column) -> Column:
+    """All placeholder tokens, in order."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
