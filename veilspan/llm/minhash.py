@@ -19,7 +19,7 @@ groups of copies cost a row per copy.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -155,6 +155,10 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str,
     return staged(rows.mapInArrow(sets, "node binary, elements array<long>").dropDuplicates(["node"]), "full-sets")
 
 
+def _in_a_row(ring: Column, width: int) -> Callable[[Column], Column]:
+    return lambda k: F.xxhash64(F.slice(ring, k, F.lit(width)), k, F.lit(width))
+
+
 def _similar(a: str, b: str, percent: int) -> Column:
     common = F.size(F.array_intersect(a, b))
     return common * 100 >= (F.size(a) + F.size(b) - common) * percent
@@ -181,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # the same members in narrower buckets, of two bands and more in a row
     narrow = nodes.join(crowd, "node").select("node", "n", "s", "bands")
     ring = F.concat("bands", "bands")
-    joined = [F.transform(F.sequence(F.lit(1), F.lit(BANDS)), lambda k, w=w: F.xxhash64(F.slice(ring, k, F.lit(w)), k)) for w in NARROW]
+    joined = [F.transform(F.sequence(F.lit(1), F.lit(BANDS)), _in_a_row(ring, width)) for width in NARROW]
     narrow = narrow.select("node", "n", "s", F.explode(F.concat(*joined)).alias("bucket")).unionByName(members.join(crowd, "node").select("node", "n", "s", "bucket"))
     narrow = staged(narrow, "ranked")
     leaders = narrow.groupBy("bucket").agg(F.max(F.struct("s", "node", "n")).alias("l"), F.count("*").alias("c")).where("c > 1").select("bucket", F.col("l.node").alias("leader"), F.col("l.n").alias("leader_n"))
