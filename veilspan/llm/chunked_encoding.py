@@ -57,7 +57,7 @@ class _Ids(dict):
                 return self[first] + b"".join([owner.newline + owner.plain[x] for x in rest])
         elif not chunk:
             return b""
-        if chunk[-1] in ".,;:!?" and chunk[-2:-1].isalpha() and chunk.isprintable():
+        if chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk.isprintable():
             ids = self[chunk[:-1]] + owner.plain[chunk[-1]]
         elif chunk.isalpha() and max(chunk) < _LATIN_END:
             ids = owner.word(self.prefix, chunk)
