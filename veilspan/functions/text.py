@@ -36,20 +36,23 @@ def to_original(start: Column, end: Column, offsets: Column, length: Column) ->
     return at(start), F.greatest(at(start), at(end))
 
 
-def spans(text: Column, pattern: str) -> Column:
-    """Every match of a pattern as (start, end, text), in code points: the gaps between matches and
-    the matches, put end to end in one fold.  No Python."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
+def placed(found: Column, gaps: Column) -> Column:
+    """Matches of a pattern and the text between them (columns, not expressions: both are read at
+    every step), put end to end as (start, end, text) in code points."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
 
-    def step(acc: Column, i: Column) -> Column:
-        begin = acc["at"] + F.char_length(F.get(gaps, i))
-        end = begin + F.char_length(F.get(found, i))
-        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), F.get(found, i).alias("text"))).alias("out"))
+    def step(acc: Column, p: Column) -> Column:
+        begin = acc["at"] + F.char_length(p["gap"])
+        end = begin + F.char_length(p["text"])
+        return F.struct(end.alias("at"), F.array_append(acc["out"], F.struct(begin.alias("start"), end.alias("end"), p["text"].alias("text"))).alias("out"))
+
+    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, t: F.struct(g.alias("gap"), t.alias("text")))
+    return F.aggregate(pairs, start, step)["out"]
 
-    many = F.aggregate(F.sequence(F.lit(0), F.size(found) - 1), start, step)["out"]
-    return F.when(F.size(found) > 0, many).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+def spans(text: Column, pattern: str) -> Column:
+    """Every match of a pattern as (start, end, text), in code points.  No Python."""
+    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
 
 
 #: Ordered redactions of log lines: pattern, replacement.

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
-from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import checksums as C
-from veilspan.functions.text import spans
+from veilspan.functions.text import placed
 
 
 @dataclass(frozen=True)
@@ -30,8 +29,21 @@ class Rule:
     far: int = 140
     weight: float = 0.40
     needs_positive: bool = False
+    tail: int = 0  # of a match, only its last characters are the span
 
 
+# Words near passport data.
+_PASSPORT_NEGATIVE = ("паспорт сделки", "паспорт проекта", "паспорт безопасности", "технический паспорт", "паспорт объекта", "паспорт отходов", "техпаспорт")
+_DIVISION_POSITIVE = (
+    "код подразделения", "код подр.", "код подр", "подразделение", "подразделения", "подразделением", "оуфмс", "уфмс", "мвд", "овд", "гувд", "рофмс", "тп", "паспорт", "паспорта", "выдан", "выдавший",
+)
+_DIVISION_NEGATIVE = (
+    "руб", "руб.", "рубля", "рублей", "коп", "коп.", "копеек", "копейки", "₽", "$", "€", "стоимость", "цена", "цене", "сумме", "сумма", "сумму", "суммой", "размер", "размере", "расчет", "расчету",
+    "расчёт", "остаток", "остатка", "задолженность", "задолженности", "пошлина", "пошлины", "пошлину", "оплата", "оплате", "оплату", "выплата", "выплате", "платеж", "платежа", "предел", "превышает",
+    "тысяч", "тысячи", "тыс", "тыс.", "млн", "млрд", "долг", "долга", "акт", "актом", "счет", "счету", "счёт", "счёту", "спецификация", "спецификации", "договор", "договору", "договора", "телефон",
+    "тел.", "факс", "индекс", "заказ", "артикул", "версия", "статья", "пункт",
+)
+
 # Candidate shapes, keywords and weights of the deterministic rules.
 RULES: tuple[Rule, ...] = (
     Rule("inn_checksum", "INN", r"(?<!\d)(?:\d{12}|\d{10})(?!\d)", ("инн", "идентификационный номер", "inn"), ("счет", "счёт", "оквэд", "октмо", "гост", "код ошибки", "артикул", "заказ"), 95, 0.40, C.valid_inn),
@@ -41,6 +53,9 @@ RULES: tuple[Rule, ...] = (
     Rule("bank_card_luhn", "BANK_CARD", r"(?<!\d)(?:\d{4}[-\s]?){3}\d{4}(?!\d)|(?<!\d)\d{16,19}(?!\d)", ("карта", "карты", "банковская карта", "visa", "mastercard", "мир", "mir", "maestro", "номер карты", "card number", "pan"), ("счет", "счёт", "лицевой", "инн", "огрн", "снилс", "телефон"), 90, 0.30, C.valid_card),
     Rule("bik_bank", "BIK", r"(?<!\d)04\d{7}(?!\d)", ("бик", "bik", "банк", "к/с", "р/с", "корреспондентский"), ("кпп", "инн", "телефон"), 85, 0.55, C.valid_bik),
     Rule("oms_policy", "OMS_POLICY", r"(?<!\d)\d{16}(?!\d)", ("омс", "полис омс", "полис", "страховой полис", "медстрах"), ("карта", "счет", "банковская карта"), 85, 0.40, C.valid_oms),
+    Rule("passport_series_rf", "PASSPORT_SERIES", r"(?iU)(?<!\d)\d{2}\s?\d{2}(?=\s*(?:№|#|номер|n\b)?\s*\d{6}(?!\d))", ("паспорт", "серия", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180),
+    Rule("passport_number_rf", "PASSPORT_NUMBER", r"(?iU)(?<!\d)\d{2}\s?\d{2}[,\s]*(?:№|#|номер|n\b)?\s*\d{6}(?!\d)", ("паспорт", "номер", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180, tail=6),
+    Rule("passport_division_code", "PASSPORT_DIVISION_CODE", r"(?<!\d[\s\u00a0.,])(?<!\d)\d{3}[-\s]\d{3}(?!\d)(?![,.]\d{2})(?![\s\u00a0]\d{3})", _DIVISION_POSITIVE, _DIVISION_NEGATIVE, 85, 0.30, C.valid_division_code, near=60, needs_positive=True),
     Rule("court_case_number", "COURT_CASE_NUMBER", r"(?U)\bА\d{1,2}-\d{1,8}/\d{2,4}\b|\b(?:\d{1,3}-)?\d{1,8}/\d{2,4}\b|\b\d{1,2}[а-яёА-ЯЁ]?-\d{1,8}/\d{2,4}\b", ("дело", "делу", "арбитражный суд", "суд", "иск", "исковое заявление", "определение", "постановление", "решение суда", "производство"), ("фз", "гост", "договор", "закон", "снип", "статья"), 80, 0.45, C.valid_court_case),
     Rule("ip_address", "IP_ADDRESS", r"(?U)\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b", ("ip", "ip-адрес", "хост", "сеть", "адрес", "сервер", "шлюз"), ("пункт", "п.", "ст.", "версия"), 80, 0.50),
     Rule("iban_international", "IBAN", r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", ("iban", "счёт", "банк", "перевод", "swift"), ("паспорт", "снилс"), 85, 0.40, C.valid_iban),
@@ -48,63 +63,65 @@ RULES: tuple[Rule, ...] = (
 )
 
 
-def _nearest(left: Column, right: Column, word: str) -> Column:
+def _nearest(left: Column, right: Column, word: Column) -> Column:
     """Characters between the candidate and the word's nearest place in either window; null if none."""
-    before = F.when(F.contains(left, F.lit(word)), F.char_length(F.substring_index(left, word, -1)))
-    after = F.when(F.contains(right, F.lit(word)), F.instr(right, word) - 1)
+    before = F.when(F.contains(left, word), F.char_length(F.call_function("substring_index", left, word, F.lit(-1))))
+    after = F.when(F.contains(right, word), F.call_function("instr", right, word) - 1)
     return F.least(before, after)
 
 
-def _passes(check: Callable[[Column], Column]) -> Callable[[Column], Column]:
-    return lambda s: check(s["text"])
-
-
-def _stands(rule: Rule) -> Callable[[Column], Column]:
-    return lambda c: ~c["vetoed"] & ((c["keyword_score"] > 0) if rule.needs_positive else F.lit(True))
-
+def _specs(rules: tuple[Rule, ...]) -> Column:
+    """The rules' parameters as one constant array, looked up by a candidate's rule number."""
 
-def _scored(rule: Rule, lower: Column) -> Callable[[Column], Column]:
-    def scored(s: Column) -> Column:
-        left = F.substr(lower, F.greatest(s["start"] - rule.far, F.lit(0)) + 1, F.least(s["start"], F.lit(rule.far)))
-        right = F.substr(lower, s["end"] + 1, F.lit(rule.far))
-        vetoed = F.lit(False)
-        for word in rule.negative:
-            vetoed = vetoed | F.coalesce(_nearest(left, right, word) <= rule.near, F.lit(False))
-        decay = [F.coalesce(F.when(d <= rule.near, F.lit(1.0)).when(d >= rule.far, F.lit(0.0)).otherwise((F.lit(rule.far) - d) / F.lit(rule.far - rule.near)), F.lit(0.0)) for d in (_nearest(left, right, w) for w in rule.positive)]
-        score = F.greatest(*decay)
-        confidence = F.lit(rule.base) + score * rule.weight
-        if rule.validator:
-            confidence = F.greatest(confidence, F.when(score > 0, 0.95).otherwise(0.85))
-        return F.struct(
-            s["start"].alias("start"), s["end"].alias("end"), s["text"].alias("text"), F.lit(rule.label).alias("label"), F.lit(rule.name).alias("rule"), F.lit(rule.priority).alias("priority"),
-            F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)).alias("confidence"), score.alias("keyword_score"), vetoed.alias("vetoed"),
-        )
+    def words(ws: tuple[str, ...]) -> Column:
+        return F.array(*[F.lit(w) for w in ws]).cast("array<string>")
 
-    return scored
+    return F.array(*[
+        F.struct(
+            F.lit(r.label).alias("label"), F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.base).alias("base"), F.lit(r.weight).alias("weight"), F.lit(r.near).alias("near"),
+            F.lit(r.far).alias("far"), F.lit(r.validator is not None).alias("checked"), F.lit(r.needs_positive).alias("strict"), words(r.positive).alias("positive"), words(r.negative).alias("negative"),
+        )
+        for r in rules
+    ])
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, text, label, rule, priority, confidence and keyword_score of every candidate.
 
-    One scan and no shuffle: all rules' matches of a row are built into one array and exploded once.
-    A negative word within ``near`` vetoes; the score of a positive word falls from 1 at ``near`` to
-    0 at ``far``; a passed validator lifts the confidence to .85, with a positive word to .95.
-    Null texts have no candidates.
+    One scan and no shuffle: a row for each rule that occurs in a text, then a row for each valid
+    match with the words around it, then its score; each regular expression runs once on a text it
+    occurs in.  A negative word within ``near`` vetoes; the score of a positive word falls from 1 at
+    ``near`` to 0 at ``far``; a passed validator lifts the confidence to .85, with a positive word to
+    .95.  Null texts have no candidates.
     """
-    lower = F.lower(F.col("_text"))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
-    # most texts match no rule at all: one pass of the patterns spares them the rest
-    rows = rows.where(reduce(or_, [F.col("_text").rlike(rule.pattern) for rule in rules]))
-    arrays = []
-    for rule in rules:
-        found = spans(F.col("_text"), rule.pattern)
-        if rule.validator:
-            found = F.filter(found, _passes(rule.validator))
-
-        kept = F.filter(F.transform(found, _scored(rule, lower)), _stands(rule))
-        arrays.append(kept)
-    out = rows.select("doc_id", F.explode(F.concat(*arrays)).alias("c"))
-    return out.select("doc_id", *[f"c.{f}" for f in ("start", "end", "text", "label", "rule", "priority", "confidence", "keyword_score")])
+    occurs = F.array(*[F.when(F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"))) for i, r in enumerate(rules)])
+    by_rule = rows.select("doc_id", "_text", F.explode(F.array_compact(occurs)).alias("o"))
+    cut = by_rule.select("doc_id", "o.rule", "o.tail", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"))
+    each = cut.select("doc_id", "rule", "tail", "lower", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s"))
+    begin = F.when(F.col("tail") > 0, F.col("s.end") - F.col("tail")).otherwise(F.col("s.start"))
+    surface = F.when(F.col("tail") > 0, F.substr("s.text", -F.col("tail"))).otherwise(F.col("s.text"))
+    each = each.select("doc_id", "rule", "lower", begin.alias("start"), F.col("s.end").alias("end"), surface.alias("text"))
+
+    checked = [(i, r.validator) for i, r in enumerate(rules) if r.validator]
+    if checked:
+        valid = reduce(lambda acc, c: acc.when(F.col("rule") == c[0], c[1](F.col("text"))), checked[1:], F.when(F.col("rule") == checked[0][0], checked[0][1](F.col("text"))))
+        each = each.where(valid.otherwise(F.lit(True)))
+    far = F.get(F.array(*[F.lit(r.far) for r in rules]), F.col("rule"))
+    left = F.substr("lower", F.greatest(F.col("start") - far, F.lit(0)) + 1, F.least(F.col("start"), far))
+    near_by = each.select("doc_id", "rule", "start", "end", "text", left.alias("left"), F.substr("lower", F.col("end") + 1, far).alias("right"), F.get(_specs(rules), F.col("rule")).alias("spec"))
+
+    left, right, spec = F.col("left"), F.col("right"), F.col("spec")
+
+    def decay(word: Column) -> Column:
+        d = _nearest(left, right, word)
+        return F.coalesce(F.when(d <= spec["near"], F.lit(1.0)).when(d >= spec["far"], F.lit(0.0)).otherwise((spec["far"] - d) / (spec["far"] - spec["near"])), F.lit(0.0))
+
+    near_by = near_by.where(~F.exists(spec["negative"], lambda w: F.coalesce(_nearest(left, right, w) <= spec["near"], F.lit(False))))
+    scored = near_by.withColumn("keyword_score", F.coalesce(F.array_max(F.transform(spec["positive"], decay)), F.lit(0.0))).where(~spec["strict"] | (F.col("keyword_score") > 0))
+    confidence = spec["base"] + F.col("keyword_score") * spec["weight"]
+    confidence = F.when(spec["checked"], F.greatest(confidence, F.when(F.col("keyword_score") > 0, 0.95).otherwise(0.85))).otherwise(confidence)
+    return scored.select("doc_id", "start", "end", "text", "spec.label", "spec.rule", "spec.priority", F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)).alias("confidence"), "keyword_score")
 
 
 def merge_exact(found: DataFrame) -> DataFrame:
