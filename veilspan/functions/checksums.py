@@ -11,10 +11,8 @@ def digits_of(value: Column) -> Column:
 
 
 def _weighted(digits: Column, weights: list[int]) -> Column:
-    total = F.lit(0)
-    for i, w in enumerate(weights):
-        total = total + F.coalesce(F.substring(digits, i + 1, 1).try_cast("int"), F.lit(0)) * w
-    return total
+    parts = F.zip_with(F.split(digits, ""), F.expr(f"array({', '.join(map(str, weights))})"), lambda c, w: F.coalesce(c.try_cast("int") * w, F.lit(0)))
+    return F.aggregate(parts, F.lit(0), lambda total, part: total + part)
 
 
 def _digit(digits: Column, place: int) -> Column:

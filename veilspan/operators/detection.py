@@ -71,18 +71,19 @@ def _nearest(left: Column, right: Column, word: Column) -> Column:
 
 
 def _specs(rules: tuple[Rule, ...]) -> Column:
-    """The rules' parameters as one constant array, looked up by a candidate's rule number."""
+    """The rules' parameters as one constant array, looked up by a candidate's rule number (one parsed
+    expression: hundreds of literal columns would take seconds to build)."""
 
-    def words(ws: tuple[str, ...]) -> Column:
-        return F.array(*[F.lit(w) for w in ws]).cast("array<string>")
+    def words(ws: tuple[str, ...]) -> str:
+        return "CAST(array(" + ", ".join(f"'{w}'" for w in ws) + ") AS array<string>)"
 
-    return F.array(*[
-        F.struct(
-            F.lit(r.label).alias("label"), F.lit(r.name).alias("rule"), F.lit(r.priority).alias("priority"), F.lit(r.base).alias("base"), F.lit(r.weight).alias("weight"), F.lit(r.near).alias("near"),
-            F.lit(r.far).alias("far"), F.lit(r.validator is not None).alias("checked"), F.lit(r.needs_positive).alias("strict"), words(r.positive).alias("positive"), words(r.negative).alias("negative"),
+    def fields(r: Rule) -> str:
+        return (
+            f"'label', '{r.label}', 'rule', '{r.name}', 'priority', {r.priority}, 'base', {r.base}D, 'weight', {r.weight}D, 'near', {r.near}, 'far', {r.far}, "
+            f"'checked', {str(r.validator is not None).lower()}, 'strict', {str(r.needs_positive).lower()}, 'positive', {words(r.positive)}, 'negative', {words(r.negative)}"
         )
-        for r in rules
-    ])
+
+    return F.expr("array(" + ", ".join(f"named_struct({fields(r)})" for r in rules) + ")")
 
 
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
