@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from veilspan.functions.text import TOKEN, placed
@@ -20,34 +19,30 @@ _WORD = r"[\p{L}\p{N}_]+"
 
 
 def values(entities: DataFrame) -> DataFrame:
-    """value (lower case), token and the value's longest word with its place in it: the join key."""
+    """token, the value's longest word (the join key) and a pattern of the value (lower case) that has
+    no word character before or behind where the value itself begins or ends with one."""
     named = entities.where(F.col("label").isin(*GLOBAL_LABELS)).select(F.lower(F.trim("original")).alias("value"), "token", "number")
     named = named.where((F.char_length("value") >= 2) & F.col("value").rlike(r"[\p{L}\p{N}]"))
     one = named.groupBy("value").agg(F.min(F.struct("number", "token"))["token"].alias("token"))
     longest = F.array_max(F.transform(F.regexp_extract_all("value", F.lit(_WORD), F.lit(0)), lambda w: F.struct(F.char_length(w).alias("n"), w.alias("w"))))["w"]
-    keyed = one.withColumn("word", longest)
-    return keyed.select("value", "token", "word", (F.call_function("instr", F.col("value"), F.col("word")) - 1).alias("place"))
+    left, right = F.when(F.col("value").rlike(f"^{_WORD}"), "(?<![\\p{L}\\p{N}_])").otherwise(""), F.when(F.col("value").rlike(f"{_WORD}$"), "(?![\\p{L}\\p{N}_])").otherwise("")
+    return one.select("token", longest.alias("word"), F.concat(left, F.regexp_replace("value", r"([^\p{L}\p{N}_])", r"\\$1"), right).alias("pattern"))
 
 
 def reconcile(texts: DataFrame, entities: DataFrame) -> DataFrame:
     """doc_id, text and n of all rows of ``texts`` (doc_id, text).
 
-    A value is found by its longest word, an equi-join of the texts' words with the registry, not a
-    search for every value in every text; then its letters are compared, in any case, with no word
-    character before or behind where the value itself begins or ends with one.  Within a text the
-    longest value goes first and tokens there are left alone.  Null texts count as empty.  Ids of
-    documents must be unique.
+    A value is sought only in texts that hold its longest word: an equi-join of the texts' distinct
+    words with the registry, not every value in every text.  Letters may be of any case.  Within a
+    text the longest value goes first, and tokens there are left alone.  Null texts count as empty.
+    Ids of documents must be unique.
     """
     docs = texts.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     low = docs.select("doc_id", F.lower("text").alias("low"))
-    cut = low.select("doc_id", F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)).alias("found"), F.split("low", _WORD, -1).alias("gaps"))
-    words = cut.select("doc_id", F.explode(placed(F.col("found"), F.col("gaps"))).alias("w")).select("doc_id", F.col("w.start").alias("at"), F.col("w.text").alias("word"))
-    hits = words.join(values(entities), "word").select("doc_id", (F.col("at") - F.col("place")).alias("start"), "value", "token").where("start >= 0")
-    body = low.join(hits, "doc_id")
-    end = F.col("start") + F.char_length("value")
-    before, behind = F.when(F.col("start") > 0, F.substr("low", F.col("start"), F.lit(1))).otherwise(""), F.substr("low", end + 1, F.lit(1))
-    edges = ~(F.col("value").rlike(r"^[\p{L}\p{N}_]") & before.rlike(r"[\p{L}\p{N}_]")) & ~(F.col("value").rlike(r"[\p{L}\p{N}_]$") & behind.rlike(r"[\p{L}\p{N}_]"))
-    fits = body.where((F.substr("low", F.col("start") + 1, F.char_length("value")) == F.col("value")) & edges).select("doc_id", "start", end.alias("end"), "token")
+    words = low.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("low", F.lit(_WORD), F.lit(0)))).alias("word"))
+    hits = words.join(values(entities), "word").select("doc_id", "pattern", "token")
+    cut = low.join(hits, "doc_id").select("doc_id", "token", F.regexp_extract_all("low", F.col("pattern"), F.lit(0)).alias("found"), F.split("low", F.col("pattern"), -1).alias("gaps"))
+    fits = cut.where(F.size("found") > 0).select("doc_id", "token", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s")).select("doc_id", "token", "s.start", "s.end")
     per_doc = fits.groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct((F.col("start") - F.col("end")).alias("l"), "start", "end", "token"))).alias("all"))
     tokens = docs.select("doc_id", "text", F.regexp_extract_all("text", F.lit(TOKEN), F.lit(0)).alias("found"), F.split("text", TOKEN, -1).alias("gaps"))
     both = tokens.join(per_doc, "doc_id", "left").select("doc_id", "text", "all", placed(F.col("found"), F.col("gaps")).alias("kept_out"))
@@ -61,9 +56,3 @@ def reconcile(texts: DataFrame, entities: DataFrame) -> DataFrame:
 def leaks(masked: DataFrame, entities: DataFrame) -> DataFrame:
     """doc_id and n of documents in which registered values remain."""
     return reconcile(masked, entities).where("n > 0").select("doc_id", "n")
-
-
-def latest_registry(versions: DataFrame) -> DataFrame:
-    """One row per token of several registries' rows: that of the largest version."""
-    order = W.partitionBy("token").orderBy(F.desc("version"))
-    return versions.withColumn("_r", F.row_number().over(order)).where("_r = 1").drop("_r")
