@@ -104,3 +104,8 @@ def test_stream_goes_on_with_the_registry(spark, tmp_path):
     assert run() == {1: "ip [IP_ADDRESS_1]"}
     arrive(2, "ip 10.0.0.2 и 10.0.0.1")
     assert run() == {1: "ip [IP_ADDRESS_1]", 2: "ip [IP_ADDRESS_2] и [IP_ADDRESS_1]"}
+
+
+def test_fragments(spark):
+    df = spark.createDataFrame([(" 0ab \n \n\n1cdefg\nh",), ("",), (None,), (" \n\n ",)], "t string")
+    assert [r.f for r in df.select(files.fragments(F.col("t"), 4).alias("f")).collect()] == [["0ab", "1cde", "fg\nh"], [], [], []]
