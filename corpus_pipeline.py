@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import staged, table
-from veilspan.llm.decontaminate import find_contamination
+from veilspan.llm.decontaminate import WINDOW, find_contamination
 from veilspan.llm.minhash import near_duplicates
 from veilspan.llm.packing import pack_documents
 from veilspan.llm.quality import fit_quality, score_quality
@@ -42,9 +42,12 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which windows of fewer than two benchmark items occur."""
+    """Documents without a passage of the benchmark: without a stretch of hit words as long as a full
+    window, and with windows of fewer than two items (an item shorter than a window, found alone, is
+    no passage)."""
     found, added = find_contamination(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
-    return found.where(F.size(added["items"]) < 2).select(COLUMNS)
+    passage = F.exists(added["stretches"], lambda s: s["last"] - s["first"] >= WINDOW)
+    return found.where(~passage & (F.size(added["items"]) < 2)).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

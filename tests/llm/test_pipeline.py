@@ -107,3 +107,14 @@ def test_stages_are_the_brute_force_ones(spark):
             assert offset == at
             at += length
         assert at <= 2048
+
+
+def test_passages_of_one_item_are_dropped(spark, tmp_path):
+    item, short = "what is the name of the river that flows through the old town", "yes or no"
+    spark.createDataFrame([(1, item), (2, short)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = {
+        1: f"before {item} after", 2: item.upper(), 3: "x " + " ".join(item.split()[3:11]) + " y",  # whole, whole, one window
+        4: " ".join(item.split()[:7]), 5: "clean words of a document", 6: "say yes or no", 7: None, 8: "",
+    }
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    assert {r.doc_id for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {4, 5, 6, 7, 8}
