@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm.common import staged, table
 from veilspan.llm.decontaminate import WINDOW, find_contamination
-from veilspan.llm.minhash import near_duplicates
+from veilspan.llm.minhash import one_of_each
 from veilspan.llm.packing import pack_documents
 from veilspan.llm.quality import fit_quality, score_quality
 from veilspan.llm.toxicity import fit_toxicity, score_toxicity
@@ -35,10 +35,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: that with the smallest id."""
-    docs = docs.select(COLUMNS)
-    dropped = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("dropped")).distinct()
-    return docs.join(dropped, F.col("doc_id").eqNullSafe(F.col("dropped")), "left_anti").select(COLUMNS)
+    """One row of each group of near duplicates: that with the smallest id, one with a null id only in a
+    group without ids.  Null and repeated ids don't touch rows outside the group."""
+    return one_of_each(docs.select(COLUMNS)).select(COLUMNS)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -118,3 +118,23 @@ def test_passages_of_one_item_are_dropped(spark, tmp_path):
     }
     docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
     assert {r.doc_id for r in P.drop_contaminated(spark, docs, str(tmp_path)).collect()} == {4, 5, 6, 7, 8}
+
+
+def test_null_and_repeated_ids_leave_one_row_of_each_group(spark):
+    a, b, c, d, e, f = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcdef")
+    near = a + " more"
+    rows = [
+        (1, a), (None, near), (None, b),  # a null-id copy of 1; a unique text with a null id
+        (2, c), (3, c), (3, d),  # 3 has a copy of 2 and a text of its own
+        (4, e), (4, e), (4, e + " more"),  # rows with the component's id
+        (None, f), (None, f), (None, f + " more"),  # null ids alone
+        (None, None), (5, ""), (5, " \n"), (None, ""), (5, ""),  # without words: no group
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = P.drop_near_duplicates(spark, docs, "")
+    assert out.columns == P.COLUMNS
+    got = [(r.doc_id, r.text) for r in out.collect()]
+    wordy = [r for r in got if (r[1] or "").strip()]
+    assert {r for r in wordy if r[0] in (1, 2, 3)} == {(1, a), (2, c), (3, d)} and (None, b) in wordy
+    assert len(wordy) == 6 and sum(r[0] == 4 for r in wordy) == 1 and sum(r[0] is None and r[1][0] == "f" for r in wordy) == 1
+    assert sorted(map(repr, (r for r in got if r not in wordy))) == sorted(map(repr, rows[-5:]))

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilspan.llm.common import staged
+from veilspan.llm.common import fresh, staged
 from veilspan.llm.components import components
 
 #: A pair of similarity 0.75 misses all bands with a chance of (1 - 0.75**4)**32 = 5e-6.
@@ -114,8 +114,8 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.reshape(-1), kind))
 
 
-def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint; null without words), bands and signature of every row."""
+def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """doc_id, n_shingles, node (fingerprint; null without words), bands, signature and key of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -131,12 +131,12 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 nodes = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
                 folded = (signatures ^ (signatures >> _U(32))).astype(np.uint32).view(np.int32)
                 yield pa.record_batch(
-                    [b.column(0).slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists(bands_of(signatures).view(np.int64), pa.int64()), _lists(folded, pa.int32())],
-                    ["doc_id", "n_shingles", "node", "bands", "signature"],
+                    [b.column(0).slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists(bands_of(signatures).view(np.int64), pa.int64()), _lists(folded, pa.int32()), b.column(2).slice(start, at - start)],
+                    ["doc_id", "n_shingles", "node", "bands", "signature", "key"],
                 )
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(sketched, "doc_id long, n_shingles long, node binary, bands array<long>, signature array<int>")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
+    return rows.mapInArrow(sketched, "doc_id long, n_shingles long, node binary, bands array<long>, signature array<int>, key binary")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -172,9 +172,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     kept if their id is the component's.  A null id never names a component that holds another id;
     a component of null ids alone has a null id, and its rows are kept.  Other columns are ignored.
     """
-    rows = staged(sketch(docs, id_col, text_col), "sketches")
+    rows, named = _rooted(docs, id_col, text_col, percent)
+    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    by_node = named.join(names, "root").select("node", "component_id")
+    out = rows.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``docs`` with exactly one row of each group of near duplicates: that with the smallest id, a null
+    id only where the group has no other; rows outside groups, without words too, all stay.
+
+    Rows are told apart by id and whole text (a 128-bit hash of both), so null and repeated ids decide
+    nothing about other rows; of rows equal in both, any one stands for all.
+    """
+    name = fresh("key", docs.columns)
+    key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))))
+    _, named = _rooted(docs, id_col, text_col, percent, key)
+    chosen = named.groupBy("root").agg(F.min("least")["key"].alias(name)).select(name)
+    keyed = docs.withColumn(name, key)
+    words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+    # copies of a row are merged before the shuffle
+    return keyed.where(words).dropDuplicates([name]).join(chosen, name, "left_semi").unionByName(keyed.where(~words)).drop(name)
+
+
+def _rooted(docs: DataFrame, id_col: str, text_col: str, percent: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """The sketches of all rows, and of every node: its least id, its component's root and, of its rows,
+    the least (id is null, id, key)."""
+    rows = staged(sketch(docs, id_col, text_col, key), "sketches")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
     nodes = staged(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
+        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), least.alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
     )
 
     # members of buckets with company, and how much company each member has in all
@@ -227,12 +256,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         more = staged(more, "rest-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    named = nodes.select("node", "least_id").join(found, "node", "left").select("node", "least_id", F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(names, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return rows, nodes.select("node", "least_id", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:
