@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,3 +55,25 @@ def test_metrics(spark):
     micro = E.span_metrics(g, p).where("scope = 'micro'").first()
     assert (micro.tp, micro.fp, micro.fn, micro.f1) == (1, 1, 1, 0.5)
     assert [tuple(r) for r in E.confusion(g, p).collect()] == [("B", "C", 1)]
+
+
+def test_places_in_the_normalised_text(spark):
+    texts = ["a\u00ad b", "x  y\u00adz", " \u200b \u00a0a\u00ad\u200b", "\ufeff\tа\t\u3000б \nв  ", "plain", "😀\u2009 😀 \u00ad", "\u00ad"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", X.normalize(F.col("t")).alias("n"), X.offset_map(F.col("t")).alias("o"), X.spans(F.col("t"), X.SQUEEZED).alias("runs"))
+    for r in df.select("n", "o", F.transform(F.sequence(F.lit(0), F.char_length("n")), lambda i: X.unsqueezed(i.cast("int"), F.col("runs"))).alias("got")).collect():
+        assert r.got == r.o, r.n
+
+
+def test_identifiers_with_typographic_characters(spark):
+    card, snils = "4111 1111 1111 1111", "112-233-445 95"
+    texts = {1: "карта " + card.replace(" ", "\u00a0"), 2: "СНИЛС " + snils.replace("-", "\u2013").replace(" ", "\u00a0"), 3: "«карта»  4111\u00ad1111\u200b1111\u00a0 1111.", 4: "код подразделения 770\u2011001", 5: "карта " + card, 6: "ИНН\t77070\u00ad83893", 7: "код подразделения 770\u00a0001"}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    cands = {(r.doc_id, r.label): r for r in D.candidates(docs).collect()}
+    want = {
+        (1, "BANK_CARD"): (0.95, texts[1][6:]), (2, "SNILS"): (0.931, texts[2][6:]), (3, "BANK_CARD"): (0.931, texts[3][9:-1]), (4, "PASSPORT_DIVISION_CODE"): (0.931, texts[4][18:]),
+        (5, "BANK_CARD"): (0.95, card), (6, "INN"): (0.931, texts[6][4:]), (7, "PASSPORT_DIVISION_CODE"): (0.95, texts[7][18:]),
+    }
+    assert {k: (round(cands[k].confidence, 6), cands[k].text) for k in want} == want
+    found = D.resolve(D.candidates(docs))
+    got = {r.doc_id: r.masked for r in M.mask(docs, found, M.registry(found)).collect()}
+    assert not any(re.search(r"\d", re.sub(r"\[[A-Z_]+_\d+\]", "", t)) for t in got.values())

@@ -36,6 +36,21 @@ def to_original(start: Column, end: Column, offsets: Column, length: Column) ->
     return at(start), F.greatest(at(start), at(end))
 
 
+#: Runs of the original that ``normalize`` shortens: to one space, or to nothing.
+SQUEEZED = f"[ {SPACES}][ {SPACES}{DROPPED}]+|[{DROPPED}]+"
+
+
+def unsqueezed(place: Column, runs: Column) -> Column:
+    """A place in ``normalize(text)`` as a place in ``text``, given the spans of ``SQUEEZED`` in it: as
+    ``offset_map`` has it, without an array of all characters."""
+
+    def step(cut: Column, r: Column) -> Column:
+        left = F.when(F.lit(DROPPED).contains(F.substring(r["text"], 1, 1)), 0).otherwise(1)
+        return F.when(r["start"] - cut + left <= place, cut + r["end"] - r["start"] - left).otherwise(cut)
+
+    return place + F.aggregate(runs, F.lit(0), step)
+
+
 def placed(found: Column, gaps: Column) -> Column:
     """Matches of a pattern and the text between them (columns, not expressions: both are read at
     every step), put end to end as (start, end, text) in code points."""

@@ -10,7 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import checksums as C
-from veilspan.functions.text import placed
+from veilspan.functions.text import SPAN, SQUEEZED, normalize, placed, unsqueezed
+
+#: Fixed value: of a candidate's confidence in the normalised text.
+NORMALIZED = 0.98
 
 
 @dataclass(frozen=True)
@@ -47,15 +50,15 @@ _DIVISION_NEGATIVE = (
 # Candidate shapes, keywords and weights of the deterministic rules.
 RULES: tuple[Rule, ...] = (
     Rule("inn_checksum", "INN", r"(?<!\d)(?:\d{12}|\d{10})(?!\d)", ("инн", "идентификационный номер", "inn"), ("счет", "счёт", "оквэд", "октмо", "гост", "код ошибки", "артикул", "заказ"), 95, 0.40, C.valid_inn),
-    Rule("snils_checksum", "SNILS", r"(?<!\d)\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}(?!\d)", ("снилс", "snils", "страховой номер", "лицевой счет физлица", "страховое свидетельство"), ("телефон", "счет", "индекс", "паспорт"), 95, 0.45, C.valid_snils),
+    Rule("snils_checksum", "SNILS", r"(?U)(?<!\d)\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}(?!\d)", ("снилс", "snils", "страховой номер", "лицевой счет физлица", "страховое свидетельство"), ("телефон", "счет", "индекс", "паспорт"), 95, 0.45, C.valid_snils),
     Rule("ogrn_checksum", "OGRN", r"(?<!\d)\d{13}(?!\d)", ("огрн", "ogrn", "егрюл", "основной государственный регистрационный номер"), ("счет", "номер карты", "заказ", "штрихкод"), 95, 0.50, C.valid_ogrn),
     Rule("ogrnip_checksum", "OGRNIP", r"(?<!\d)\d{15}(?!\d)", ("огрнип", "ogrnip", "егрип", "индивидуальный предприниматель"), ("счет", "номер карты", "заказ"), 95, 0.50, C.valid_ogrn),
-    Rule("bank_card_luhn", "BANK_CARD", r"(?<!\d)(?:\d{4}[-\s]?){3}\d{4}(?!\d)|(?<!\d)\d{16,19}(?!\d)", ("карта", "карты", "банковская карта", "visa", "mastercard", "мир", "mir", "maestro", "номер карты", "card number", "pan"), ("счет", "счёт", "лицевой", "инн", "огрн", "снилс", "телефон"), 90, 0.30, C.valid_card),
+    Rule("bank_card_luhn", "BANK_CARD", r"(?U)(?<!\d)(?:\d{4}[-\s]?){3}\d{4}(?!\d)|(?<!\d)\d{16,19}(?!\d)", ("карта", "карты", "банковская карта", "visa", "mastercard", "мир", "mir", "maestro", "номер карты", "card number", "pan"), ("счет", "счёт", "лицевой", "инн", "огрн", "снилс", "телефон"), 90, 0.30, C.valid_card),
     Rule("bik_bank", "BIK", r"(?<!\d)04\d{7}(?!\d)", ("бик", "bik", "банк", "к/с", "р/с", "корреспондентский"), ("кпп", "инн", "телефон"), 85, 0.55, C.valid_bik),
     Rule("oms_policy", "OMS_POLICY", r"(?<!\d)\d{16}(?!\d)", ("омс", "полис омс", "полис", "страховой полис", "медстрах"), ("карта", "счет", "банковская карта"), 85, 0.40, C.valid_oms),
     Rule("passport_series_rf", "PASSPORT_SERIES", r"(?iU)(?<!\d)\d{2}\s?\d{2}(?=\s*(?:№|#|номер|n\b)?\s*\d{6}(?!\d))", ("паспорт", "серия", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180),
     Rule("passport_number_rf", "PASSPORT_NUMBER", r"(?iU)(?<!\d)\d{2}\s?\d{2}[,\s]*(?:№|#|номер|n\b)?\s*\d{6}(?!\d)", ("паспорт", "номер", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180, tail=6),
-    Rule("passport_division_code", "PASSPORT_DIVISION_CODE", r"(?<!\d[\s\u00a0.,])(?<!\d)\d{3}[-\s]\d{3}(?!\d)(?![,.]\d{2})(?![\s\u00a0]\d{3})", _DIVISION_POSITIVE, _DIVISION_NEGATIVE, 85, 0.30, C.valid_division_code, near=60, needs_positive=True),
+    Rule("passport_division_code", "PASSPORT_DIVISION_CODE", r"(?U)(?<!\d[\s\u00a0.,])(?<!\d)\d{3}[-\s]\d{3}(?!\d)(?![,.]\d{2})(?![\s\u00a0]\d{3})", _DIVISION_POSITIVE, _DIVISION_NEGATIVE, 85, 0.30, C.valid_division_code, near=60, needs_positive=True),
     Rule("court_case_number", "COURT_CASE_NUMBER", r"(?U)\bА\d{1,2}-\d{1,8}/\d{2,4}\b|\b(?:\d{1,3}-)?\d{1,8}/\d{2,4}\b|\b\d{1,2}[а-яёА-ЯЁ]?-\d{1,8}/\d{2,4}\b", ("дело", "делу", "арбитражный суд", "суд", "иск", "исковое заявление", "определение", "постановление", "решение суда", "производство"), ("фз", "гост", "договор", "закон", "снип", "статья"), 80, 0.45, C.valid_court_case),
     Rule("ip_address", "IP_ADDRESS", r"(?U)\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b", ("ip", "ip-адрес", "хост", "сеть", "адрес", "сервер", "шлюз"), ("пункт", "п.", "ст.", "версия"), 80, 0.50),
     Rule("iban_international", "IBAN", r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", ("iban", "счёт", "банк", "перевод", "swift"), ("паспорт", "снилс"), 85, 0.40, C.valid_iban),
@@ -89,20 +92,28 @@ def _specs(rules: tuple[Rule, ...]) -> Column:
 def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, end, text, label, rule, priority, confidence and keyword_score of every candidate.
 
-    One scan and no shuffle: a row for each rule that occurs in a text, then a row for each valid
-    match with the words around it, then its score; each regular expression runs once on a text it
-    occurs in.  A negative word within ``near`` vetoes; the score of a positive word falls from 1 at
-    ``near`` to 0 at ``far``; a passed validator lifts the confidence to .85, with a positive word to
-    .95.  Null texts have no candidates.
+    Two passes in one scan: the text, and where normalisation changes it the normalised text, its
+    candidates placed in the original at ``NORMALIZED`` of the confidence.  Of candidates with equal
+    document, place and label the most confident stays (the one shuffle).  In a pass there's a row for
+    each rule that occurs in a text, then a row for each valid match with the words around it, then its
+    score; each regular expression runs once on a text it occurs in.  A negative word within ``near``
+    vetoes; the score of a positive word falls from 1 at ``near`` to 0 at ``far``; a passed validator
+    lifts the confidence to .85, with a positive word to .95.  Null texts have no candidates.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    # the original and its squeezed runs go along with a normalised text
+    rows = rows.select("doc_id", "_text", normalize(F.col("_text")).alias("_norm"), F.regexp_extract_all("_text", F.lit(SQUEEZED), F.lit(0)).alias("found"), F.split("_text", SQUEEZED, -1).alias("gaps"))
+    raw = F.struct(F.col("_text").alias("text"), F.lit(None).cast("string").alias("origin"), F.lit(None).cast(f"array<{SPAN}>").alias("runs"))
+    norm = F.struct(F.col("_norm").alias("text"), F.col("_text").alias("origin"), placed(F.col("found"), F.col("gaps")).alias("runs"))
+    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(raw, F.when(F.col("_norm") != F.col("_text"), norm)))).alias("v"))
+    rows = rows.select("doc_id", F.col("v.text").alias("_text"), F.col("v.origin").alias("origin"), F.col("v.runs").alias("runs"))
     occurs = F.array(*[F.when(F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"))) for i, r in enumerate(rules)])
-    by_rule = rows.select("doc_id", "_text", F.explode(F.array_compact(occurs)).alias("o"))
-    cut = by_rule.select("doc_id", "o.rule", "o.tail", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"))
-    each = cut.select("doc_id", "rule", "tail", "lower", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s"))
+    by_rule = rows.select("doc_id", "_text", "origin", "runs", F.explode(F.array_compact(occurs)).alias("o"))
+    cut = by_rule.select("doc_id", "origin", "runs", "o.rule", "o.tail", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"))
+    each = cut.select("doc_id", "origin", "runs", "rule", "tail", "lower", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s"))
     begin = F.when(F.col("tail") > 0, F.col("s.end") - F.col("tail")).otherwise(F.col("s.start"))
     surface = F.when(F.col("tail") > 0, F.substr("s.text", -F.col("tail"))).otherwise(F.col("s.text"))
-    each = each.select("doc_id", "rule", "lower", begin.alias("start"), F.col("s.end").alias("end"), surface.alias("text"))
+    each = each.select("doc_id", "origin", "runs", "rule", "lower", begin.alias("start"), F.col("s.end").alias("end"), surface.alias("text"))
 
     checked = [(i, r.validator) for i, r in enumerate(rules) if r.validator]
     if checked:
@@ -110,7 +121,7 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
         each = each.where(valid.otherwise(F.lit(True)))
     far = F.get(F.array(*[F.lit(r.far) for r in rules]), F.col("rule"))
     left = F.substr("lower", F.greatest(F.col("start") - far, F.lit(0)) + 1, F.least(F.col("start"), far))
-    near_by = each.select("doc_id", "rule", "start", "end", "text", left.alias("left"), F.substr("lower", F.col("end") + 1, far).alias("right"), F.get(_specs(rules), F.col("rule")).alias("spec"))
+    near_by = each.select("doc_id", "origin", "runs", "rule", "start", "end", "text", left.alias("left"), F.substr("lower", F.col("end") + 1, far).alias("right"), F.get(_specs(rules), F.col("rule")).alias("spec"))
 
     left, right, spec = F.col("left"), F.col("right"), F.col("spec")
 
@@ -122,7 +133,13 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     scored = near_by.withColumn("keyword_score", F.coalesce(F.array_max(F.transform(spec["positive"], decay)), F.lit(0.0))).where(~spec["strict"] | (F.col("keyword_score") > 0))
     confidence = spec["base"] + F.col("keyword_score") * spec["weight"]
     confidence = F.when(spec["checked"], F.greatest(confidence, F.when(F.col("keyword_score") > 0, 0.95).otherwise(0.85))).otherwise(confidence)
-    return scored.select("doc_id", "start", "end", "text", "spec.label", "spec.rule", "spec.priority", F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)).alias("confidence"), "keyword_score")
+    confidence = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0))
+    out = scored.select("doc_id", "start", "end", "text", "spec.label", "spec.rule", "spec.priority", confidence.alias("confidence"), "keyword_score", "origin", "runs")
+    start, end = (F.when(F.col("origin").isNull(), F.col(c)).otherwise(unsqueezed(F.col(c), F.col("runs"))) for c in ("start", "end"))
+    out = out.withColumns({"start": start, "end": end, "confidence": F.when(F.col("origin").isNull(), F.col("confidence")).otherwise(F.col("confidence") * NORMALIZED)})
+    out = out.withColumn("text", F.when(F.col("origin").isNull(), F.col("text")).otherwise(F.substr("origin", F.col("start") + 1, F.col("end") - F.col("start"))))
+    best = F.max(F.struct("confidence", "keyword_score", "priority", "rule", "text")).alias("b")
+    return out.groupBy("doc_id", "start", "end", "label").agg(best).select("doc_id", "start", "end", "b.text", "label", "b.rule", "b.priority", "b.confidence", "b.keyword_score")
 
 
 def merge_exact(found: DataFrame) -> DataFrame:
