@@ -206,3 +206,12 @@ def test_packing(spark):
             at += length
         assert at <= 64
     assert packing.pack_documents(docs_of(spark, []).where("false"), public_tokenizers.path("word_bpe_49k.json")).count() == 0
+
+
+@pytest.mark.parametrize("mark", "0123456789@$!*+|#._-")
+def test_obfuscation_does_not_depend_on_other_words(mark):
+    one, two = toxicity.features([f"such an id{mark}ot here", f"such an id{mark}ot here 0@1_"], {})
+    for name in ("undone", "digits_inside", "marks_inside"):
+        at = toxicity.FEATURES.index(name)
+        assert one[at] == two[at]
+    assert one[toxicity.FEATURES.index("digits_inside")] + one[toxicity.FEATURES.index("marks_inside")] > 0

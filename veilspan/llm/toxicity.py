@@ -37,6 +37,8 @@ FEATURES = ("log_words", "fixed", "fixed_density", "learned", "learned_density",
 
 _WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*")
 _HIDDEN = re.compile(r"(?<!\S)[^\W\d_]+(?:[0-9@$!*+|#._-]+[^\W\d_]+)+|(?<!\S)(?:[0-9@$!|]+[^\W\d_]{2,})")
+#: The characters that ``_HIDDEN`` takes within words or before them: it finds nothing without one.
+_BREAKS = b"0123456789@$!*+|#._-"
 _SPELT = re.compile(r"(?<!\w)(?:[^\W\d_][ .\-_*]){3,}[^\W\d_](?!\w)")
 _RUN = re.compile(r"[!?]{2,}")
 _PLAIN = str.maketrans("013457@$!|+", "oieastasiit")
@@ -74,7 +76,7 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
         if not SECOND_PERSON.isdisjoint(distinct):
             second = sum(map(SECOND_PERSON.__contains__, words))
         raw = np.bincount(np.frombuffer(text.encode(), np.uint8), minlength=256)
-        hidden = _HIDDEN.findall(text) if any(map(raw.__getitem__, b"0134578@$!*+|#_-")) else []
+        hidden = _HIDDEN.findall(text) if any(map(raw.__getitem__, _BREAKS)) else []
         undone = sum(1 for h in hidden if (p := _normal(h)) in fixed or p in weights)
         inside_digits = sum(1 for h in hidden if any(map(str.isdigit, h)))
         spelt = _SPELT.findall(text)
