@@ -215,3 +215,7 @@ def test_obfuscation_does_not_depend_on_other_words(mark):
         at = toxicity.FEATURES.index(name)
         assert one[at] == two[at]
     assert one[toxicity.FEATURES.index("digits_inside")] + one[toxicity.FEATURES.index("marks_inside")] > 0
+
+
+def test_fillings_of_smaller_pieces_are_tried():
+    assert packing.fillings(packing._Pool([97, 96, 95, 60, 40]), 100)[0] == (0, [60, 40])

@@ -57,12 +57,13 @@ class _Pool:
         return max(0, (self.bits & ((2 << limit) - 1)).bit_length() - 1)
 
 
-def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES) -> list[tuple[int, list[int]]]:
+def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES, whole: bool = True) -> list[tuple[int, list[int]]]:
     """Up to ``keep`` undominated fillings of ``room`` as (waste, lengths), least waste first.
 
     Depth-first over lengths in descending order; the best-fit filling comes first and is the
-    incumbent.  A branch is left when even its room filled by the next lengths can't beat the worst
-    kept; the search ends at a filling without waste.
+    incumbent.  The search ends at a filling without waste, when all are tried, or after ``nodes``
+    lengths tried; if not ``whole``, also where a next length over half of the room would leave more than the
+    worst kept, though smaller ones might fill it (smaller lengths are left for later bins).
     """
     found: list[tuple[int, list[int]]] = []
     budget = [nodes]
@@ -80,7 +81,6 @@ def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES) ->
             budget[0] -= 1
             if budget[0] < 0 and found:
                 return True
-            # the smallest waste possible below: a later, smaller length x leaves left - k * x at most
             pool.take(x)
             chosen.append(x)
             done = search(left - x, x, chosen)
@@ -89,9 +89,7 @@ def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES) ->
             if done:
                 return True
             nxt = pool.largest(x - 1)
-            # a filling whose largest piece is below half of the room needs two or more; with no
-            # second length to add, its waste is known
-            if not nxt or (len(found) == keep and nxt * (left // nxt) < left - found[-1][0] and left // nxt < 2):
+            if not nxt or (not whole and len(found) == keep and nxt * (left // nxt) < left - found[-1][0] and left // nxt < 2):
                 return False
             x = nxt
         return False
@@ -123,13 +121,20 @@ def best_fit_decreasing(lengths: list[int], capacity: int) -> list[list[int]]:
 
 
 def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
-    """Bins of lengths (0 < length <= capacity), as few as the bounded search finds."""
+    """Bins of lengths (0 < length <= capacity), as few as the bounded searches find: with fillings that
+    leave small lengths for later, then with whole fillings."""
     if not lengths:
         return []
     incumbent = best_fit_decreasing(lengths, capacity)
     least = lower_bound(lengths, capacity)
-    if len(incumbent) == least:
-        return incumbent
+    for whole in (False, True):
+        if len(incumbent) > least:
+            incumbent = _completed(lengths, capacity, incumbent, least, whole)
+    return incumbent
+
+
+def _completed(lengths: list[int], capacity: int, incumbent: list[list[int]], least: int, whole: bool) -> list[list[int]]:
+    """The incumbent or a packing of fewer bins, by bin completion."""
     pool, total, n = _Pool(lengths), sum(lengths), len(lengths)
     bins: list[list[int]] = []
     #: Fillings not yet tried of each open bin, with the waste before it.
@@ -145,7 +150,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
         elif waste[-1] <= allowed:
             x = pool.largest(capacity)
             pool.take(x)
-            options = fillings(pool, capacity - x)
+            options = fillings(pool, capacity - x, whole=whole)
             chosen = options.pop(0)
             for y in chosen[1]:
                 pool.take(y)
