@@ -1,6 +1,7 @@
 """Each operator against brute force or a round trip, with nulls, empty and long texts, ties,
 repeated rows, empty tables and clashing columns."""
 
+import hashlib
 import random
 import zlib
 
@@ -172,7 +173,7 @@ def test_components(spark):
     assert all(got.get(name(x), name(x)) == name(r) for x, r in root.items())
 
 
-@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 60])
+@pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
 def test_decontamination(spark, block):
     items = [(1, " ".join(WORDS)), (2, "Short one"), (3, None), (4, "..."), (5, "Éa漢 b-c d e f g h i j"), (5, "Éa漢 b-c d e f g h i j")]
     texts = [None, "", "x " + " ".join(WORDS).upper() + ", y", "short ONE and short-one", "short onething", "pre ÉA漢 Éa漢 b c d e f g h i j post", " ".join(WORDS[:7]), "a" * 5000]
@@ -184,7 +185,12 @@ def test_decontamination(spark, block):
     assert [hits[i] for i in range(8)] == [0, 0, 10, 4, 0, 10, 0, 0]
     (span,) = got[2][c["spans"]]
     assert texts[2][span.start : span.end] == " ".join(WORDS).upper()
+    assert [got[i][c["widest"]] for i in range(8)] == [0, 0, 8, 2, 0, 8, 0, 0]
     assert decontaminate.find_contamination(docs_of(spark, texts), bench.where("false"))[0].count() == 9
+    nameless = spark.createDataFrame([(None, " ".join(WORDS)), (None, "short one"), (7, "SHORT one")], "item_id long, text string")
+    out, c = decontaminate.find_contamination(docs_of(spark, texts), nameless, block_bytes=block)
+    got = {r.doc_id: r for r in out.select("doc_id", F.col(c["items"]).alias("items"), decontaminate.items_digest(F.col(c["items"])).alias("d"), decontaminate.hit_words(F.col(c["stretches"])).alias("n")).collect()}
+    assert (got[2]["items"], got[2].n, got[3]["items"], got[3].n) == ([None], 10, [7, None], 4) and got[3].d == hashlib.sha256(b"7").hexdigest()
 
 
 def test_packing(spark):
