@@ -41,12 +41,10 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark: without a stretch of hit words as long as a full
-    window, and with windows of fewer than two items (an item shorter than a window, found alone, is
-    no passage)."""
+    """Documents without a passage of the benchmark, that is without a full window of an item's words
+    (items shorter than a window, found alone or side by side, are no passage)."""
     found, added = find_contamination(docs.select(COLUMNS), table(spark, sf_dir, "benchmark"))
-    passage = F.exists(added["stretches"], lambda s: s["last"] - s["first"] >= WINDOW)
-    return found.where(~passage & (F.size(added["items"]) < 2)).select(COLUMNS)
+    return found.where(F.col(added["widest"]) < WINDOW).select(COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
