@@ -224,4 +224,24 @@ def test_obfuscation_does_not_depend_on_other_words(mark):
 
 
 def test_fillings_of_smaller_pieces_are_tried():
-    assert packing.fillings(packing._Pool([97, 96, 95, 60, 40]), 100)[0] == (0, [60, 40])
+    assert packing.fillings(packing._Pool([97, 96, 95, 60, 40], 100), 100)[0] == (0, [60, 40])
+
+
+def test_fillings_are_undominated_and_bounded():
+    assert packing.fillings(packing._Pool([5, 4, 2], 8), 8) == [(1, [5, 2])]
+    rng = random.Random(4)
+    for _ in range(200):
+        lengths = [rng.randint(1, 20) for _ in range(rng.randint(1, 9))]
+        room = rng.randint(1, 40)
+        sums = {0}
+        for x in lengths:
+            sums |= {s + x for s in sums}
+        found = packing.fillings(packing._Pool(lengths, 40), room, nodes=10**6)
+        assert found[0][0] == room - max(s for s in sums if s <= room)
+        for left, chosen in found:
+            rest = lengths.copy()
+            for x in chosen:
+                rest.remove(x)
+            assert left == room - sum(chosen) and not any(x <= left for x in rest)
+            assert not any(y < x <= y + left for y in chosen for x in rest)
+            assert not any(chosen[i] + chosen[j] <= x <= chosen[i] + chosen[j] + left for i in range(len(chosen)) for j in range(i) for x in rest)

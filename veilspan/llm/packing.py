@@ -34,14 +34,24 @@ def lower_bound(lengths: list[int], capacity: int) -> int:
 
 
 class _Pool:
-    """Lengths left, as counts and as a bit set for finding the largest that fits."""
+    """Lengths left, as counts and as a bit set for finding the largest that fits, and which sums the
+    lengths up to one can reach (of all lengths at the start: a bound for any later pool)."""
 
-    def __init__(self, lengths: list[int]):
+    def __init__(self, lengths: list[int], capacity: int):
         self.count: dict[int, int] = {}
         self.bits = 0
         for x in lengths:
             self.count[x] = self.count.get(x, 0) + 1
             self.bits |= 1 << x
+        mask, sums = (2 << capacity) - 1, 1
+        self.sums: dict[int, int] = {}
+        for x in sorted(self.count):
+            for _ in range(min(self.count[x], capacity // x)):
+                more = (sums | sums << x) & mask
+                if more == sums:
+                    break
+                sums = more
+            self.sums[x] = sums
 
     def take(self, x: int) -> None:
         self.count[x] -= 1
@@ -56,28 +66,53 @@ class _Pool:
         """The largest length up to ``limit``; 0 if there is none."""
         return max(0, (self.bits & ((2 << limit) - 1)).bit_length() - 1)
 
+    def least_waste(self, left: int, longest: int) -> int:
+        """What lengths up to ``longest`` (one of the lengths) leave of ``left`` at least."""
+        return left + 1 - (self.sums[longest] & ((2 << left) - 1)).bit_length()
+
+
+def dominated(pool: _Pool, left: int, chosen: list[int]) -> bool:
+    """Whether a piece that the filling leaves out fits, or could take the place of one smaller piece of
+    it, or of two that are no larger together: then that filling does as well with less left for others."""
+    if pool.largest(left):
+        return True
+    for i, y in enumerate(chosen):
+        if pool.largest(y + left) > y:
+            return True
+        for z in chosen[i + 1 :]:
+            if pool.largest(y + z + left) >= y + z:
+                return True
+    return False
+
 
 def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES, whole: bool = True) -> list[tuple[int, list[int]]]:
     """Up to ``keep`` undominated fillings of ``room`` as (waste, lengths), least waste first.
 
-    Depth-first over lengths in descending order; the best-fit filling comes first and is the
-    incumbent.  The search ends at a filling without waste, when all are tried, or after ``nodes``
-    lengths tried; if not ``whole``, also where a next length over half of the room would leave more than the
-    worst kept, though smaller ones might fill it (smaller lengths are left for later bins).
+    Depth-first over lengths in descending order; the best-fit filling comes first (no other dominates
+    it) and is the incumbent.  A branch ends where the sums that its lengths can reach leave no less
+    than the worst kept; the search ends at a filling without waste, when all are tried, or after
+    ``nodes`` lengths tried; if not ``whole``, also where a next length over half of the room would leave
+    more than the ``keep`` best fillings come by, though smaller ones might fill it (smaller lengths are left for later bins).
     """
     found: list[tuple[int, list[int]]] = []
+    #: Least wastes of all fillings come by, dominated ones too.
+    wastes: list[int] = []
     budget = [nodes]
 
     def search(left: int, limit: int, chosen: list[int]) -> bool:
         x = pool.largest(min(left, limit))
-        if not x:  # nothing more fits: not dominated by a filling with one piece more
+        if not x:
             entry = (left, chosen.copy())
-            if entry not in found:
+            wastes[:] = sorted([*wastes, left])[:keep]
+            if entry not in found and not dominated(pool, left, chosen):
                 found.append(entry)
                 found.sort(key=lambda f: (f[0], len(f[1])))
                 del found[keep:]
-            return left == 0
+                return left == 0
+            return False
         while x:
+            if whole and len(found) == keep and pool.least_waste(left, x) >= found[-1][0]:
+                return False
             budget[0] -= 1
             if budget[0] < 0 and found:
                 return True
@@ -89,7 +124,7 @@ def fillings(pool: _Pool, room: int, keep: int = 3, nodes: int = FILL_NODES, who
             if done:
                 return True
             nxt = pool.largest(x - 1)
-            if not nxt or (not whole and len(found) == keep and nxt * (left // nxt) < left - found[-1][0] and left // nxt < 2):
+            if not nxt or (not whole and len(wastes) == keep and nxt * (left // nxt) < left - wastes[-1] and left // nxt < 2):
                 return False
             x = nxt
         return False
@@ -135,7 +170,7 @@ def pack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 def _completed(lengths: list[int], capacity: int, incumbent: list[list[int]], least: int, whole: bool) -> list[list[int]]:
     """The incumbent or a packing of fewer bins, by bin completion."""
-    pool, total, n = _Pool(lengths), sum(lengths), len(lengths)
+    pool, total, n = _Pool(lengths, capacity), sum(lengths), len(lengths)
     bins: list[list[int]] = []
     #: Fillings not yet tried of each open bin, with the waste before it.
     others: list[list[tuple[int, list[int]]]] = []

@@ -68,9 +68,11 @@ def fit_quality(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS,
     is one half; with one class only, near that class.
     """
     rows = training_rows(docs, labels, "quality", learned_fold(modulus, held_out), limit)
-    return QualityModel(gbt.fit(*training_matrix(rows, statistics)))
+    x, y, _ = training_matrix(rows, statistics)
+    return QualityModel(gbt.fit(x, y))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, column: str = "quality_score", text_col: str = "text") -> DataFrame:
-    """``docs`` with the score (0 to 1, higher: better) of every whole text; null text is empty."""
+    """``docs`` with the score (0 to 1, higher: better) of every whole text; null text is empty, repeated
+    rows and other columns stay as they are."""
     return with_score(docs, model.score, column, text_col)

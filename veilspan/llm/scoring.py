@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -22,7 +23,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, learn: Column,
 
     The labels are narrowed to ``limit`` ids before the documents are touched, and these ids, of a
     bounded size, are broadcast: texts aren't shuffled.  Null ids and labels don't count, of repeated
-    labels the largest does.
+    labels the largest does.  A repeated id gives all its rows here; ``training_matrix`` takes one.
     """
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id IS NOT NULL AND y IS NOT NULL").where(learn)
     picked = known.groupBy("doc_id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
@@ -35,22 +36,29 @@ def learned_fold(modulus: int, held_out: int, id_col: str = "doc_id") -> Column:
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus != held_out
 
 
-def training_matrix(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of the training rows; the texts stay on the executors."""
+def training_matrix(rows: DataFrame, features: Features) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and ids of the training rows, one row an id (of a repeated id, the row with the
+    largest hash of its text), so the driver gets no more rows than ids were picked.
+
+    Texts stay where they are read; their features are merged by id before the shuffle.
+    """
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = features(b.column(2).to_pylist())
-            yield pa.record_batch([b.column(0), b.column(1), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "x"])
+            texts = b.column(2).to_pylist()
+            x = features(texts)
+            digests = [hashlib.md5(t.encode()).digest() for t in texts]
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(digests, pa.binary()), pa.array([r.tobytes() for r in x], pa.binary())], ["doc_id", "y", "h", "x"])
 
-    got = rows.mapInArrow(measured, "doc_id long, y int, x binary").collect()
-    got.sort(key=lambda r: (r.doc_id, r.x))
-    return (np.stack([np.frombuffer(r.x) for r in got]) if got else np.zeros((0, 1))), np.array([r.y for r in got], float)
+    one = rows.mapInArrow(measured, "doc_id long, y int, h binary, x binary").groupBy("doc_id").agg(F.max("y").alias("y"), F.max(F.struct("h", "x"))["x"].alias("x"))
+    got = sorted(one.collect(), key=lambda r: r.doc_id)
+    return (np.stack([np.frombuffer(r.x) for r in got]) if got else np.zeros((0, 1))), np.array([r.y for r in got], float), np.array([r.doc_id for r in got], np.int64)
 
 
 def with_score(docs: DataFrame, score: Callable[[list[str]], np.ndarray], column: str, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``score`` of every whole text in ``column`` (replaced if it was there): a narrow
-    transformation, no shuffle."""
+    """``docs`` with ``score`` of every whole text in ``column`` (replaced if it was there, in any case):
+    a narrow transformation, no shuffle.  A null text scores as the empty one, repeated rows score alike
+    and all stay, an empty table gives none; other columns are carried through."""
     kept = [c for c in docs.columns if c.lower() != column.lower()]
     docs = docs.select(*[F.col(f"`{c}`") for c in kept])
 

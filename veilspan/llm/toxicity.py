@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm import gbt
+from veilspan.llm.common import staged
 from veilspan.llm.scoring import TRAINING_ROWS, learned_fold, training_matrix, training_rows, with_score
 
 #: General insults of the four languages, as a start for the learned lexicon.
@@ -89,9 +90,14 @@ def features(texts: list[str], weights: dict[str, float]) -> np.ndarray:
     return out
 
 
-def learn_lexicon(rows: DataFrame, words: int = LEARNED_WORDS) -> dict[str, float]:
-    """Words with their log odds, counted over the training rows by a partial aggregate; at most
-    ``words`` of them reach the driver.
+def half_of(ids: np.ndarray) -> np.ndarray:
+    """Which half of the training rows (0 or 1) each id is in."""
+    return np.array([zlib.crc32(int(i).to_bytes(8, "little", signed=True)) & 1 for i in ids], np.int64)
+
+
+def learn_lexicons(rows: DataFrame, words: int = LEARNED_WORDS) -> list[dict[str, float]]:
+    """Words with their log odds, learned from all training rows, from half 0 and from half 1 of them:
+    counted in one pass by a partial aggregate; at most ``words`` of each reach the driver.
 
     What is counted are different contexts (the words on both sides of a word's first place), so
     copies of one document don't make its rare words look like insults.
@@ -104,22 +110,38 @@ def learn_lexicon(rows: DataFrame, words: int = LEARNED_WORDS) -> dict[str, floa
                 w: list[str] = []
                 c: list[int] = []
                 y: list[int] = []
-                for t, label in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), strict=True):
+                halves: list[int] = []
+                for t, label, half in zip(part.column(2).to_pylist(), part.column(1).to_pylist(), half_of(part.column(0).to_numpy()).tolist(), strict=True):
                     found = ["", *_WORD.findall(t.lower()), ""]
                     first = {x: i for i, x in zip(range(len(found) - 2, 0, -1), found[-2:0:-1], strict=True)}
                     w += first
                     c += [zlib.crc32(f"{found[i - 1]} {found[i + 1]}".encode()) for i in first.values()]
                     y += [label] * len(first)
-                yield pa.record_batch({"w": pa.array(w, pa.string()), "c": pa.array(c, pa.int64()), "y": pa.array(y, pa.int32())})
+                    halves += [half] * len(first)
+                yield pa.record_batch({"w": pa.array(w, pa.string()), "c": pa.array(c, pa.int64()), "y": pa.array(y, pa.int32()), "half": pa.array(halves, pa.int32())})
 
-    n, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
-    if not 0 < toxic < n:
-        return {}
-    seen = rows.mapInArrow(contexts, "w string, c long, y int").groupBy("w", "c").agg(F.max("y").alias("y"))
-    counted = seen.groupBy("w").agg(F.sum("y").alias("a"), F.count("*").alias("c")).where((F.col("c") >= LEAST_ROWS) & (F.col("a") > 0))
-    odds = F.log((F.col("a") + 0.5) / (toxic + 1)) - F.log((F.col("c") - F.col("a") + 0.5) / (n - toxic + 1))
-    top = counted.select("w", odds.alias("odds"), "a").where(F.col("odds") >= math.log(LEAST_ODDS)).orderBy(F.desc(F.col("odds") * F.sqrt("a")), "w").limit(words).collect()
-    return {r.w: r.odds for r in top}
+    def sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.record_batch([b.column(0), b.column(1), pa.array(half_of(b.column(0).to_numpy()), pa.int32())], ["doc_id", "y", "half"])
+
+    counts = rows.select("doc_id", "y").distinct().mapInArrow(sizes, "doc_id long, y int, half int").groupBy("half").agg(F.count("*").alias("n"), F.sum("y").alias("t")).collect()
+    by_half = {r.half: (r.n, r.t) for r in counts}
+    sums = [tuple(map(sum, zip((0, 0), *by_half.values(), strict=True))), by_half.get(0, (0, 0)), by_half.get(1, (0, 0))]
+    if not 0 < sums[0][1] < sums[0][0]:
+        return [{}, {}, {}]
+    # the label of a word's context in each half; null where the half has none
+    halves = [F.max(F.when(F.col("half") == k, F.col("y"))).alias(f"y{k}") for k in (0, 1)]
+    seen = rows.mapInArrow(contexts, "w string, c long, y int, half int").groupBy("w", "c").agg(*halves).withColumn("y", F.greatest("y0", "y1"))
+    names = {"y": "", "y0": "0", "y1": "1"}
+    counted = seen.groupBy("w").agg(*[x for y, k in names.items() for x in (F.coalesce(F.sum(y), F.lit(0)).alias(f"a{k}"), F.count(y).alias(f"c{k}"))])
+    counted = staged(counted.where((F.col("c") >= LEAST_ROWS) & (F.col("a") > 0)), "lexicon")
+    out = []
+    for k, (n, toxic) in zip(names.values(), sums, strict=True):
+        a, c = F.col(f"a{k}"), F.col(f"c{k}")
+        odds = F.log((a + 0.5) / (toxic + 1)) - F.log((c - a + 0.5) / (n - toxic + 1))
+        top = counted.where((c >= LEAST_ROWS) & (a > 0)).select("w", odds.alias("odds"), a.alias("a")).where(F.col("odds") >= math.log(LEAST_ODDS))
+        out.append({r.w: r.odds for r in top.orderBy(F.desc(F.col("odds") * F.sqrt("a")), "w").limit(words).collect()})
+    return out
 
 
 @dataclass(frozen=True)
@@ -136,22 +158,25 @@ class ToxicityModel:
 def fit_toxicity(docs: DataFrame, labels: DataFrame, limit: int = TRAINING_ROWS, modulus: int = 5, held_out: int = 0) -> ToxicityModel:
     """Learns ``labels.toxic`` from at most ``limit`` labelled rows outside the held-out fold.
 
-    The lexicon and the trees learn from one half of these rows, the calibration from scores of the
-    half that the trees for it haven't seen (two-fold).  Without labelled rows every score is one half.
+    Lexicon and trees learn from all these rows.  The calibration learns from scores of rows that
+    neither a lexicon nor trees have seen: each half of the rows is scored by the lexicon and trees of
+    the other.  Without labelled rows every score is one half; of fewer than 40 there's no calibration.
     """
     rows = training_rows(docs, labels, "toxic", learned_fold(modulus, held_out), limit)
-    weights = learn_lexicon(rows)
-    x, y = training_matrix(rows, lambda texts: features(texts, weights))
-    trees = gbt.fit(x, y)
-    unseen = np.zeros(len(y))
-    half = np.arange(len(y)) % 2
-    if len(y) >= 40:
+    lexicons = learn_lexicons(rows)
+    x, y, ids = training_matrix(rows, lambda texts: np.hstack([features(texts, w) for w in lexicons]))
+    every, *by_half = np.split(x, 3, axis=1) if len(y) else [x] * 3
+    trees = gbt.fit(every, y)
+    unseen, half = np.zeros(len(y)), half_of(ids)
+    if len(y) >= 40 and 0 < half.sum() < len(y):
         for k in (0, 1):
-            unseen[half == k] = gbt.fit(x[half != k], y[half != k]).raw(x[half == k])
-        return ToxicityModel(weights, trees, gbt.isotonic(unseen, y))
-    return ToxicityModel(weights, trees, (np.zeros(0), np.zeros(0)))
+            learned = by_half[k]
+            unseen[half != k] = gbt.fit(learned[half == k], y[half == k]).raw(learned[half != k])
+        return ToxicityModel(lexicons[0], trees, gbt.isotonic(unseen, y))
+    return ToxicityModel(lexicons[0], trees, (np.zeros(0), np.zeros(0)))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, column: str = "toxicity_score", text_col: str = "text") -> DataFrame:
-    """``docs`` with the score (0 to 1, higher: more toxic) of every whole text; null text is empty."""
+    """``docs`` with the score (0 to 1, higher: more toxic) of every whole text; null text is empty, repeated
+    rows and other columns stay as they are."""
     return with_score(docs, model.score, column, text_col)
