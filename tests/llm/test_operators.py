@@ -42,6 +42,36 @@ def test_token_shards(spark):
     assert sstable.token_index(docs_of(spark, []).where("false"), path, 0).count() == 0
 
 
+def test_token_shards_of_bounded_size(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(WORDS) + str(rng.randint(0, 999)) for _ in range(4000)) for _ in range(60)]
+    texts += texts[:2]  # equal texts with ids of their own
+    rows = [(i, t) for i, t in enumerate(texts)] + [(5, texts[5]), (None, texts[7]), (None, texts[7])]  # repeated rows and null ids
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sstable.token_index(docs, path, 0, shard_blocks=3).collect()
+    assert len({r.shard for r in got}) > 5 and len(got) == len(rows)
+    enc, at = ChunkEncoder(path), 0
+    for r in sorted(got, key=lambda r: r.start):
+        ids = enc.ids(texts[7 if r.doc_id is None else r.doc_id]) + bytes(4)
+        assert (r.start, r.n_tokens, r.ids_crc32) == (at, len(ids) // 4, zlib.crc32(ids))
+        at += len(ids) // 4
+    order = [r.doc_id for r in sorted(got, key=lambda r: r.start)]
+    assert order == [None, None, *sorted([*range(len(texts)), 5])]
+
+
+def test_archives_of_bounded_size(spark, tmp_path):
+    rng = random.Random(3)
+    rows = [(i, f"u{i}", "<p>" + "".join(rng.choice("abcdefgh ") for _ in range(3000)) + "</p>") for i in range(200)] + [(200, "again", "<p></p>"), (201, "again", "<p></p>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.mark_revisits(pages), f"file://{tmp_path}/w", stretches=2, stretch_bytes=40_000)
+    files = sorted(tmp_path.glob("w/part-*"))
+    assert len(files) > 3 and max(f.stat().st_size for f in files) < 200_000
+    got = {r.page_id: r for r in warc.read_archives(spark, f"file://{tmp_path}/w").collect()}
+    assert {i: got[i].payload_bytes for i in got} == {i: len(h) for i, _, h in rows} and got[200].refers_to == 201
+    assert all(bytes(got[i].payload).decode() == h for i, _, h in rows if i != 200)
+
+
 def test_shard_lookup():
     w = sstable.ShardWriter(2)
     body = b""

@@ -13,7 +13,9 @@ text's hash and a counter, so repeated ids stay apart and bytewise order is id o
 document's token ids as little-endian unsigned 16- or 32-bit integers.
 
 Shards are written by Spark's text writer, which puts one byte, a line feed, after every row; the
-format counts it as the terminator of each section.  That keeps Spark's commit protocol (a task that
+format counts it as the terminator of each section.  The writer starts a new file after a fixed
+number of rows, and a task a new shard after as many sections, so shards are of bounded size whatever
+the partitions are.  That keeps Spark's commit protocol (a task that
 is run again leaves no second file) and works on any file system that Spark can write.
 """
 
@@ -36,6 +38,10 @@ from veilspan.llm.common import scratch_path, staged
 MAGIC = b"VSSTIDS1"
 _FOOTER = struct.Struct("<QIQIIQQB7x8s")
 BLOCK_BYTES = 64 << 10
+#: Data blocks of a shard, so 128 MB before compression (a document longer than a block is one block);
+#: with index, filter and footer that is the number of rows that Spark's writer puts into a file.
+SHARD_BLOCKS = 2048
+_OTHER_SECTIONS = 3
 BLOOM_BITS_PER_KEY, BLOOM_HASHES = 10, 7
 
 
@@ -81,8 +87,9 @@ def _bloom_places(doc_id: int | None, bits: int) -> Iterator[int]:
 class ShardWriter:
     """Takes entries in key order and gives the file's sections, each without its terminator."""
 
-    def __init__(self, width: int):
+    def __init__(self, width: int, closed_before: bool = False):
         self.width, self.offset = width, 0
+        self.closed_before = closed_before  # a shard of the same task, so an empty one more is left out
         self.entries, self.size, self.last = [], 0, b""
         self.index: list[bytes] = []
         self.ids: list[int | None] = []
@@ -188,10 +195,11 @@ class ShardReader:
         return out
 
 
-def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encodes every whole text, appends ``end_id`` and writes shards under ``path``.
+def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", shard_blocks: int = SHARD_BLOCKS) -> None:
+    """Encodes every whole text, appends ``end_id`` and writes shards of up to ``shard_blocks`` blocks
+    under ``path``.
 
-    Shards hold ranges of ascending ids in file-name order.  Null text counts as empty (the end id
+    Shards hold ranges of ascending ids in the order of their files' partition and file numbers.  Null text counts as empty (the end id
     alone), null ids come first, repeated ids are all kept in an order fixed by the text's hash.
     Other columns are ignored.  An empty table gives no shard, or one without entries.
     """
@@ -216,10 +224,16 @@ def write_token_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int,
                 last = (i, h)
                 for x in out.add(key_of(i, h, nth), value):
                     yield pa.record_batch({"section": [x]})
-        for x in out.finish():
-            yield pa.record_batch({"section": pa.array([x], pa.binary())})
+                if len(out.index) == shard_blocks:
+                    for x in out.finish():
+                        yield pa.record_batch({"section": pa.array([x], pa.binary())})
+                    out = ShardWriter(out.width, closed_before=True)
+        if out.ids or not out.closed_before:
+            for x in out.finish():
+                yield pa.record_batch({"section": pa.array([x], pa.binary())})
 
-    rows.mapInArrow(shard, "section binary").select(F.col("section").cast("string")).write.text(path)
+    sections = rows.mapInArrow(shard, "section binary").select(F.col("section").cast("string"))
+    sections.write.option("maxRecordsPerFile", shard_blocks + _OTHER_SECTIONS).text(path)
 
 
 def _shards(spark, path: str) -> DataFrame:
@@ -252,7 +266,7 @@ def _entries(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(s, pa.string()), pa.array(p, pa.int64()), pa.array(d, pa.int64()), pa.array(i, pa.binary())], ["shard", "position", "doc_id", "ids"])
 
 
-def token_index(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
+def token_index(docs: DataFrame, tokenizer: str, end_id: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """Writes the shards, reads them back and returns doc_id, start, n_tokens, ids_crc32, shard.
 
     ``start`` needs the sizes of all earlier shards: one row per shard is summed in key order; the
@@ -260,7 +274,7 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """
     spark = docs.sparkSession
     path = scratch_path(spark, "token-shards")
-    write_token_shards(docs, path, tokenizer, end_id)
+    write_token_shards(docs, path, tokenizer, end_id, shard_blocks=shard_blocks)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -279,5 +293,7 @@ def token_index(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     found = staged(_shards(spark, path).mapInArrow(digest, "shard string, doc_id long, own_start long, n_tokens long, ids_crc32 long"), "token-index")
     sizes = found.groupBy("shard").agg(F.sum("n_tokens").alias("n"))
-    base = sizes.selectExpr("shard", "sum(n) OVER (ORDER BY shard ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS base")
+    # part-<partition>-<name>-c<file>
+    place = [F.regexp_extract("shard", p, 1).cast("long").alias(c) for p, c in ((r"/part-(\d+)-[^/]*$", "part"), (r"-c(\d+)\.[^/]*$", "file"))]
+    base = sizes.select("shard", "n", *place).selectExpr("shard", "sum(n) OVER (ORDER BY part, file ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - n AS base")
     return found.join(base, "shard").select("doc_id", (F.col("base") + F.col("own_start")).cast("long").alias("start"), "n_tokens", "ids_crc32", "shard")

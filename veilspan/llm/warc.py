@@ -33,6 +33,8 @@ _CLOSING = struct.pack("<II", 0x184D2A50, 1)
 #: The dictionary is trained on so many bytes of payload at a file's start, to so many bytes.
 DICTIONARY_SAMPLE_BYTES, DICTIONARY_BYTES = 2 << 20, 64 << 10
 STRETCH_BYTES = 1 << 20
+#: Stretches of an archive: about 128 MB of compressed records, then the task starts another file.
+ARCHIVE_STRETCHES = 128
 LEVEL = 3
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -193,8 +195,9 @@ def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     return joined.select("page_id", "url", "payload", F.when(revisit, F.col("latest")).alias("refers_to"), F.coalesce(revisit, F.lit(False)).alias("revisit"))
 
 
-def write_archives(marked: DataFrame, path: str) -> None:
-    """One archive per partition of ``mark_revisits``' rows."""
+def write_archives(marked: DataFrame, path: str, stretches: int = ARCHIVE_STRETCHES, stretch_bytes: int = STRETCH_BYTES) -> None:
+    """Archives of ``mark_revisits``' rows: a partition's records in files of up to ``stretches`` stretches
+    of ``stretch_bytes`` (or one record more), each file with the partition's dictionary in front."""
 
     def archive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
@@ -211,21 +214,22 @@ def write_archives(marked: DataFrame, path: str) -> None:
         packer = zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(raw)) if raw else zstandard.ZstdCompressor(level=LEVEL)
         if raw:
             raw = zstandard.ZstdCompressor(level=LEVEL).compress(raw)
-            out = [struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw]
+            lead = [struct.pack("<II", DICTIONARY_FRAME, len(raw)) + raw]
         else:
-            out = []
-        held = sum(map(len, out))
+            lead = []
+        out, held, given = lead.copy(), 0, 0
         for part in (first, source):
             for page_id, url, payload, refers_to, revisit in part:
                 out.append(packer.compress(encode_record(page_id, url, payload.as_py(), refers_to, revisit)))
                 held += len(out[-1])
-                if held >= STRETCH_BYTES:
+                if held >= stretch_bytes:
                     yield pa.record_batch({"frames": [b"".join(out) + _CLOSING]})
-                    out, held = [], 0
-        if out:
+                    given += 1
+                    out, held = ([] if given % stretches else lead.copy()), 0
+        if held:
             yield pa.record_batch({"frames": [b"".join(out) + _CLOSING]})
 
-    marked.mapInArrow(archive, "frames binary").select(F.col("frames").cast("string")).write.text(path)
+    marked.mapInArrow(archive, "frames binary").select(F.col("frames").cast("string")).write.option("maxRecordsPerFile", stretches).text(path)
 
 
 def read_archives(spark, path: str) -> DataFrame:
@@ -255,12 +259,12 @@ def _records(rows: list[tuple]) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
 
-def archive_round_trip(pages: DataFrame, min_bytes: int = 0, **columns: str) -> DataFrame:
+def archive_round_trip(pages: DataFrame, min_bytes: int = 0, stretches: int = ARCHIVE_STRETCHES, stretch_bytes: int = STRETCH_BYTES, **columns: str) -> DataFrame:
     """Archives of all pages, written to the shared folder and read back.
 
     Null payloads are empty, null urls leave the field out, repeated rows give a record each; an
     empty table gives no record.
     """
     path = scratch_path(pages.sparkSession, "warc")
-    write_archives(mark_revisits(pages, min_bytes=min_bytes, **columns), path)
+    write_archives(mark_revisits(pages, min_bytes=min_bytes, **columns), path, stretches, stretch_bytes)
     return read_archives(pages.sparkSession, path)
