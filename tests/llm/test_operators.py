@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from veilspan.llm import chat, decontaminate, gbt, minhash, packing, quality, sstable, token_counts, toxicity, vectors, warc
 from veilspan.llm.chunked_encoding import ChunkEncoder
-from veilspan.llm.components import components
+from veilspan.llm.components import components, id_of, name_column, name_of
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
 TEXTS = [None, "", " ", "word", "Hello, world!\nNew line  two spaces ", "naïve café 漢字 😀 <|endoftext|> x", "a" * 3000, " ".join(WORDS * 300), "tab\there\r\n\n'tis it's"]
@@ -203,6 +203,14 @@ def test_components(spark):
     assert all(got.get(name(x), name(x)) == name(r) for x, r in root.items())
 
 
+def test_names_are_in_the_order_of_ids(spark):
+    ids = [-(2**63), -5, -1, 0, 1, 255, 2**40, 2**63 - 1, None]
+    df = spark.createDataFrame([(i, b"d" * 16) for i in ids], "i long, d binary")
+    got = df.select("i", name_column(F.col("i"), F.col("d")).alias("n")).select("i", "n", id_of(F.col("n")).alias("back")).collect()
+    assert all(bytes(r.n) == name_of(r.i, b"d" * 16) and r.back == r.i for r in got)
+    assert [r.i for r in sorted(got, key=lambda r: bytes(r.n))] == ids
+
+
 @pytest.mark.parametrize("block", [decontaminate.BLOCK_BYTES, 300])
 def test_decontamination(spark, block):
     items = [(1, " ".join(WORDS)), (2, "Short one"), (3, None), (4, "..."), (5, "Éa漢 b-c d e f g h i j"), (5, "Éa漢 b-c d e f g h i j")]

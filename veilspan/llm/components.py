@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import staged
@@ -63,13 +64,31 @@ def _forests(edges: DataFrame) -> DataFrame:
     return edges.mapInArrow(forest, schema)
 
 
+def name_of(row_id: int | None, digest: bytes) -> bytes:
+    """A node's name: bytewise order is the order of ids, null ids last."""
+    return (b"\1" + bytes(8) if row_id is None else b"\0" + struct.pack(">Q", row_id + (1 << 63))) + digest
+
+
+def name_column(row_id: Column, digest: Column) -> Column:
+    """``name_of`` as a Column."""
+    place = F.lpad(F.hex(row_id.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.unhex(F.when(row_id.isNull(), F.lit("01" + "00" * 8)).otherwise(F.concat(F.lit("00"), place))), digest)
+
+
+def id_of(name: Column) -> Column:
+    """The id in a name; null for a null id."""
+    number = F.conv(F.hex(F.substring(name, 2, 8)), 16, -10).cast("long").bitwiseXOR(F.lit(-(1 << 63)))
+    return F.when(F.hex(F.substring(name, 1, 1)) == "00", number)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of ``edges`` (two binary columns) but the roots themselves; a
-    root is the smallest node of its component.
+    root is the smallest node of its component, so with ``name_of`` it holds the component's least id.
 
-    Each round hangs every node's larger neighbours, then its smaller ones, on the smallest that it
-    knows: minima are partial aggregates and the joins are ones that adaptive execution splits, so a
-    node with very many links fills no task.  Rounds are logarithmic in practice; each is staged in
+    Links go from a node to a smaller one.  Each round hangs every node on the smallest neighbour of
+    the ones it hangs on, then all that a node hangs on on the smallest of them: minima are partial
+    aggregates over the larger ends, and the joins are ones that adaptive execution splits, so a node
+    that very many others hang on fills no task.  Rounds are logarithmic in practice; each is staged in
     the shared folder.  It ends when every node has one root and no root hangs on another.
     """
     now = staged(_forests(edges).distinct(), "forest")
@@ -77,11 +96,8 @@ def components(edges: DataFrame) -> DataFrame:
         counted = now.agg(F.count("*"), F.count_distinct("node")).first()
         if counted[0] == counted[1] and now.join(now.select(F.col("node").alias("root")), "root", "left_semi").isEmpty():
             return now
-        both = now.unionByName(now.select(F.col("root").alias("node"), F.col("node").alias("root")))
-        least = both.groupBy("node").agg(F.min("root").alias("m")).select("node", F.least("m", "node").alias("m"))
-        large = both.join(least, "node").where("root > node").select(F.col("root").alias("node"), F.col("m").alias("root")).distinct()
-        # after it every link goes from a node to a smaller one
-        large = staged(large, "large-star")
+        least = now.groupBy(F.col("node").alias("root")).agg(F.min("root").alias("m"))
+        large = staged(now.join(least, "root", "left").select("node", F.coalesce("m", "root").alias("root")).distinct(), "large-star")
         smallest = large.groupBy("node").agg(F.min("root").alias("m"))
         small = large.join(smallest, "node").where("root <> m").select(F.col("root").alias("node"), F.col("m").alias("root")).unionByName(smallest.select("node", F.col("m").alias("root")))
         now = staged(small.distinct(), "small-star")

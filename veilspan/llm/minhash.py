@@ -2,7 +2,8 @@
 
 A document's set holds its distinct five-word shingles (64-bit hashes of them; two different
 shingles of two documents fall together with a chance of about 2**-64 a pair).  Documents with equal
-sets form a class and go on as one node, named by a 128-bit fingerprint of the set.
+sets form a class and go on as one node, named by its least id and a 128-bit fingerprint of the set, so
+the smallest node of a component holds the component's id.
 
 SuperMinHash draws, for each element, a random permutation of the slots step by step (Fisher-Yates)
 with rank + uniform as the value, so an element's ranks differ between slots.  Levels run over all
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import fresh, staged
-from veilspan.llm.components import components
+from veilspan.llm.components import components, id_of, name_column, name_of
 
 #: A pair of similarity 0.75 misses all bands with a chance of (1 - 0.75**4)**32 = 5e-6.
 SHINGLE_WORDS, PERCENT, BANDS, ROWS = 5, 75, 32, 4
@@ -115,7 +116,7 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.Array:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
-    """doc_id, n_shingles, node (fingerprint; null without words), bands, signature and key of every row."""
+    """doc_id, n_shingles, digest (fingerprint; null without words), bands, signature and key of every row."""
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -132,11 +133,11 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key:
                 folded = (signatures ^ (signatures >> _U(32))).astype(np.uint32).view(np.int32)
                 yield pa.record_batch(
                     [b.column(0).slice(start, at - start), pa.array([len(s) for s in sets], pa.int64()), pa.array(nodes, pa.binary()), _lists(bands_of(signatures).view(np.int64), pa.int64()), _lists(folded, pa.int32()), b.column(2).slice(start, at - start)],
-                    ["doc_id", "n_shingles", "node", "bands", "signature", "key"],
+                    ["doc_id", "n_shingles", "digest", "bands", "signature", "key"],
                 )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), (F.lit(None) if key is None else key).cast("binary").alias("key"))
-    return rows.mapInArrow(sketched, "doc_id long, n_shingles long, node binary, bands array<long>, signature array<int>, key binary")
+    return rows.mapInArrow(sketched, "doc_id long, n_shingles long, digest binary, bands array<long>, signature array<int>, key binary")
 
 
 def _full_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -145,13 +146,15 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, names: DataFrame, id_col: str,
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 256):
-                found = [shingle_set(t.as_py()) for t in b.column(0).slice(at, 256)]
-                found = [s for s in found if len(s)]
-                yield pa.record_batch([pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["node", "elements"])
+                part = b.slice(at, 256)
+                found = [(i, shingle_set(t.as_py())) for i, t in zip(part.column(0).to_pylist(), part.column(1), strict=True)]
+                found = [(i, s) for i, s in found if len(s)]
+                names = [name_of(i, xxhash.xxh3_128_digest(s.tobytes())) for i, s in found]
+                yield pa.record_batch([pa.array(names, pa.binary()), pa.array([s.view(np.int64) for _, s in found], pa.list_(pa.int64()))], ["node", "elements"])
 
     wanted = nodes.select("node", F.col("least_id").alias("wanted")).join(names, "node", "left_semi").select("wanted").distinct()
     rows = docs.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).alias("text"))
-    rows = rows.join(wanted, rows["i"].eqNullSafe(wanted["wanted"]), "left_semi").select("text")
+    rows = rows.join(wanted, rows["i"].eqNullSafe(wanted["wanted"]), "left_semi").select("i", "text")
     return staged(rows.mapInArrow(sets, "node binary, elements array<long>").dropDuplicates(["node"]), "full-sets")
 
 
@@ -173,10 +176,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a component of null ids alone has a null id, and its rows are kept.  Other columns are ignored.
     """
     rows, named = _rooted(docs, id_col, text_col, percent)
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(names, "root").select("node", "component_id")
-    out = rows.select("doc_id", "n_shingles", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    by_digest = named.select("digest", id_of(F.col("root")).alias("component_id"))
+    out = rows.select("doc_id", "n_shingles", "digest").join(by_digest, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
@@ -190,7 +192,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     name = fresh("key", docs.columns)
     key = F.unhex(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.coalesce(text_col, F.lit("")))))
     _, named = _rooted(docs, id_col, text_col, percent, key)
-    chosen = named.groupBy("root").agg(F.min("least")["key"].alias(name)).select(name)
+    chosen = named.where("node = root").select(F.col("least.key").alias(name))
     keyed = docs.withColumn(name, key)
     words = F.coalesce(F.col(text_col).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
     # copies of a row are merged before the shuffle
@@ -198,13 +200,13 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def _rooted(docs: DataFrame, id_col: str, text_col: str, percent: int, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
-    """The sketches of all rows, and of every node: its least id, its component's root and, of its rows,
-    the least (id is null, id, key)."""
+    """The sketches of all rows, and of every node: its digest, its component's root and, of its rows, the
+    least (id is null, id, key)."""
     rows = staged(sketch(docs, id_col, text_col, key), "sketches")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
-    nodes = staged(
-        rows.where("node IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("least_id"), least.alias("least"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"), F.first("signature").alias("signature")), "nodes"
-    )
+    firsts = [F.first(c).alias(k) for c, k in (("n_shingles", "n"), ("bands", "bands"), ("signature", "signature"))]
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(least.alias("least"), *firsts).withColumn("least_id", F.col("least.doc_id"))
+    nodes = staged(nodes.withColumn("node", name_column(F.col("least_id"), F.col("digest"))), "nodes")
 
     # members of buckets with company, and how much company each member has in all
     buckets = nodes.select("node", "n", F.explode("bands").alias("bucket"))
@@ -256,7 +258,7 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, percent: int, key: Colu
         more = staged(more, "rest-links")
         found = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more))
 
-    return rows, nodes.select("node", "least_id", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return rows, nodes.select("node", "digest", "least").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def _verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, percent: int, id_col: str, text_col: str) -> DataFrame:

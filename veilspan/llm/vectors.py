@@ -7,7 +7,8 @@ looks into those where one of its hashes is replaced by its next nearest axes.
 looks where the other lives is compared in double precision, in the first table (and the smaller
 vector's bucket) that brings it together, so links are counted once and never gathered as pairs.
 
-Equal vectors form a class and go on as one node with a weight.
+Equal vectors form a class and go on as one node with a weight, named by its least id and a fingerprint, so
+the smallest node of a component holds the component's id.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.llm.common import staged
-from veilspan.llm.components import UnionFind, components
+from veilspan.llm.components import UnionFind, components, id_of, name_column
 
 COSINE = 0.9
 #: Axes tried for each hash; the chance of missing a pair of the least cosine that the tables allow.
@@ -207,7 +208,7 @@ def _dealt_rows(b: pa.RecordBatch, plans: dict[int, tuple[int, int, int]]) -> It
     bucket, low, high, block, own, size, width, dims = (b.column(c).to_numpy(zero_copy_only=False) for c in ("bucket", "low", "high", "block", "own", "size", "width", "dims"))
     for d in np.unique(dims).tolist():
         at = np.flatnonzero(dims == d)
-        node = np.frombuffer(b"".join(b.column("node").take(pa.array(at)).to_pylist()), np.uint8).reshape(-1, 16)
+        node = np.frombuffer(b"".join(b.column("node").take(pa.array(at)).to_pylist()), np.uint8).reshape(len(at), -1)
         values = b.column("value").take(pa.array(at)).to_pylist()
         wide = width[at]
         if (wide == 4).all():
@@ -244,22 +245,23 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, value, dims = [], [], []
+            digest, value, dims = [], [], []
             for v in b.column(1).to_pylist():
                 x = np.array(v, float) + 0.0 if v and None not in v else np.zeros(1)
                 good = bool(np.isfinite(x).all() and x.any())
-                node.append(xxhash.xxh3_128_digest(x.tobytes()) if good else None)
+                digest.append(xxhash.xxh3_128_digest(x.tobytes()) if good else None)
                 with np.errstate(over="ignore"):
                     narrow = x.astype("<f4")
                 value.append((narrow if (narrow == x).all() else x).tobytes() if good else None)
                 dims.append(len(x) if good else None)
-            yield pa.record_batch([b.column(0), pa.array(node, pa.binary()), pa.array(value, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "node", "value", "dims"])
+            yield pa.record_batch([b.column(0), pa.array(digest, pa.binary()), pa.array(value, pa.binary()), pa.array(dims, pa.int32())], ["vec_id", "digest", "value", "dims"])
 
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     # a value of single precision is kept as such where nothing is lost
-    rows = staged(rows.mapInArrow(read, "vec_id long, node binary, value binary, dims int"), "vectors")
+    rows = staged(rows.mapInArrow(read, "vec_id long, digest binary, value binary, dims int"), "vectors")
     firsts = (F.min("vec_id").alias("least_id"), F.count("*").alias("size"), F.first("value").alias("value"), F.first("dims").alias("dims"))
-    nodes = staged(rows.where("node IS NOT NULL").groupBy("node").agg(*firsts), "vector-nodes")
+    nodes = rows.where("digest IS NOT NULL").groupBy("digest").agg(*firsts)
+    nodes = staged(nodes.withColumn("node", name_column(F.col("least_id"), F.col("digest"))), "vector-nodes")
     counts: dict[int, int] = {}
     for r in nodes.groupBy(F.ceil(F.log2(F.col("dims"))).alias("bits")).agg(F.count("*").alias("n")).collect():
         counts[1 << max(1, r.bits)] = counts.get(1 << max(1, r.bits), 0) + r.n
@@ -320,10 +322,9 @@ def link_vectors(vectors: DataFrame, cosine: float = COSINE, id_col: str = "vec_
     links = staged(dealt.mapInArrow(linked, "node binary, weight long, root binary"), "vector-links")
     found = components(links.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
     weights = links.groupBy("node").agg(F.sum("weight").alias("weight"))
-    named = nodes.select("node", "least_id", "size").join(found, "node", "left").join(weights, "node", "left")
-    named = named.select("node", "least_id", (F.coalesce("weight", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("root", "node").alias("root"))
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    by_node = named.join(names, "root").select("node", "n_links", "component_id")
-    out = rows.select("vec_id", "node").join(by_node, "node", "left")
-    component = F.when(F.col("node").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
+    named = nodes.select("node", "digest", "size").join(found, "node", "left").join(weights, "node", "left")
+    n_links = F.coalesce("weight", F.lit(0)) + F.col("size") - 1
+    by_digest = named.select("digest", n_links.alias("n_links"), id_of(F.coalesce("root", "node")).alias("component_id"))
+    out = rows.select("vec_id", "digest").join(by_digest, "digest", "left")
+    component = F.when(F.col("digest").isNull(), F.col("vec_id")).otherwise(F.col("component_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), component.alias("component_id")).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
