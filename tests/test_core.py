@@ -77,3 +77,44 @@ def test_identifiers_with_typographic_characters(spark):
     found = D.resolve(D.candidates(docs))
     got = {r.doc_id: r.masked for r in M.mask(docs, found, M.registry(found)).collect()}
     assert not any(re.search(r"\d", re.sub(r"\[[A-Z_]+_\d+\]", "", t)) for t in got.values())
+
+
+def test_rows_of_one_id_are_masked_apart(spark):
+    docs = spark.createDataFrame([(1, "адрес 10.0.0.2 и 10.0.0.1"), (1, "ip 10.0.0.1"), (1, "ip 10.0.0.1"), (None, "ip 10.0.0.3"), (2, None), (None, None)], "doc_id long, text string")
+    found = D.resolve(D.candidates(docs))
+    reg = M.registry(found)
+    masked = M.mask(docs, found, reg)
+    got = sorted(((r.doc_id, r.masked, r.n_replaced) for r in masked.collect()), key=repr)
+    token = {r.original: r.token for r in reg.collect()}
+    a, b, c = (token[f"10.0.0.{i}"] for i in (1, 2, 3))
+    want = [(1, f"адрес {b} и {a}", 2), (1, f"ip {a}", 1), (1, f"ip {a}", 1), (None, f"ip {c}", 1), (2, "", 0), (None, "", 0)]
+    assert got == sorted(want, key=repr) and sorted(token.values()) == [f"[IP_ADDRESS_{i}]" for i in (1, 2, 3)]
+    back = sorted(((r.doc_id, r.text) for r in M.restore(masked, reg).collect()), key=repr)
+    assert back == sorted([(r.doc_id, r.text or "") for r in docs.collect()], key=repr)
+    nulls = spark.createDataFrame([(1, None), (1, "[X_1] [Y_1]")], "doc_id long, masked string")
+    assert sorted(M.restore(nulls, spark.createDataFrame([("[X_1]", "a"), ("[X_1]", "a")], "token string, original string")).collect(), key=repr) == [(1, "a [Y_1]"), (1, None)]
+
+
+def test_spellings_of_one_number_are_one_entity(spark):
+    found = spark.createDataFrame([(1, 0, "112-233-445 95", "SNILS"), (2, 0, "11223344595", "SNILS"), (3, 0, "Doe  Jane", "FOREIGN_PER"), (4, 0, "Jane Doe", "FOREIGN_PER")], "doc_id long, start int, text string, label string")
+    assert {(r.token, r.original) for r in M.registry(found).collect()} == {("[SNILS_1]", "112-233-445 95"), ("[FOREIGN_PER_1]", "Doe  Jane")}
+    known = M.registry(found)
+    more = spark.createDataFrame([(9, 0, "112 233 445 95", "SNILS"), (9, 5, "112-233-445 96", "SNILS")], found.schema)
+    assert sorted(r.token for r in M.registry(more, known).collect()) == ["[FOREIGN_PER_1]", "[SNILS_1]", "[SNILS_2]"]
+
+
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_numbering_in_pieces_is_the_numbering_in_one(spark, kind):
+    ids = [-5, 0, 3, 3, 10**12, None, 7, 256, -(10**9)]
+    rows = [(str(i) if kind == "string" and i is not None else i, k, f"t{k}", "L" if k % 3 else "M") for k, i in enumerate(ids)]
+    got = {r.original: r.number for r in M.registry(spark.createDataFrame(rows, f"doc_id {kind}, start int, text string, label string")).collect()}
+    for label in "LM":
+        mine = sorted((r for r in rows if r[3] == label), key=lambda r: (r[0] is not None, r[0] if r[0] is not None else 0 if kind == "long" else "", r[1]))
+        assert [got[r[2]] for r in mine] == list(range(1, len(mine) + 1))
+
+
+def test_external_spans_join_the_candidates(spark):
+    docs = spark.createDataFrame([(1, "Иван Петров, ip 10.0.0.1"), (1, "x")], "doc_id long, text string")
+    given = spark.createDataFrame([(1, 0, 11, "PER"), (1, 13, 24, "ORG"), (1, 5, 99, "ORG")], "doc_id long, start long, end long, label string")
+    got = {(r.text, r.label, r.priority) for r in D.resolve(D.candidates(docs, external=given)).collect()}
+    assert got == {("Иван Петров", "PER", 80), ("ip 10.0.0.1", "ORG", 75)}  # it holds the address, whose priority is below 90

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -107,3 +107,48 @@ def inn_problem(value: Column) -> Column:
     """Why a tax id is refused (format, length, checksum); null if it is valid."""
     raw = F.trim(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s\u00a0-]", ""))
     return F.when(~raw.rlike(r"^\d+$"), "format").when(~F.length(raw).isin(10, 12), "length").when(~valid_inn(raw), "checksum")
+
+
+def ogrn_problem(value: Column) -> Column:
+    """Why a registration number is refused (format, component, length, checksum); null if it is valid."""
+    raw = F.replace(F.coalesce(value, F.lit("")), F.lit(" "), F.lit(""))
+    n, first = F.length(raw), F.substring(raw, 1, 1)
+    return (
+        F.when(~raw.rlike(r"^\d+$"), "format").when((n == 13) & (first == "0") | (n == 15) & ~first.isin("3", "4"), "component")
+        .when(~n.isin(13, 15), "length").when(~valid_ogrn(raw), "checksum")
+    )
+
+
+# Lengths of account numbers by country.
+IBAN_LENGTHS = {
+    "AL": 28, "AD": 24, "AT": 20, "AZ": 28, "BH": 22, "BY": 28, "BE": 16, "BA": 20, "BR": 29, "BG": 22, "CR": 22, "HR": 21, "CY": 28, "CZ": 24, "DK": 18, "DO": 28, "EE": 20, "FO": 18,
+    "FI": 18, "FR": 27, "GE": 22, "DE": 22, "GI": 23, "GR": 27, "GL": 18, "GT": 28, "HU": 28, "IS": 26, "IE": 22, "IL": 23, "IT": 27, "JO": 30, "KZ": 20, "XK": 20, "KW": 30, "LV": 21,
+    "LB": 28, "LI": 21, "LT": 20, "LU": 20, "MK": 19, "MT": 31, "MR": 27, "MU": 30, "MD": 24, "MC": 27, "ME": 22, "NL": 18, "NO": 15, "PK": 24, "PS": 29, "PL": 28, "PT": 25, "QA": 29,
+    "RO": 24, "LC": 32, "SM": 27, "ST": 25, "SA": 24, "RS": 22, "SC": 31, "SK": 24, "SI": 19, "ES": 24, "SE": 24, "CH": 21, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "AE": 23, "GB": 22,
+    "VA": 22, "VG": 24, "RU": 33,
+}
+
+
+def iso_countries() -> tuple[str, ...]:
+    """The two-letter codes of ISO 3166 that are in use, from the Java runtime's table."""
+    codes = SparkSession.getActiveSession()._jvm.java.util.Locale.getISOCountries()
+    return tuple(sorted(set(codes) - {"AN"}))  # withdrawn, kept by some runtimes
+
+
+def iban_problem(value: Column, countries: tuple[str, ...] | None = None) -> Column:
+    """Why an international account number is refused (format, component, length, checksum); null if it is
+    valid: a country of ISO 3166, that country's length, and the remainder."""
+    clean = F.upper(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s-]+", ""))
+    country = F.substring(clean, 1, 2)
+    known = F.lit(list(countries or iso_countries()))
+    length = F.try_element_at(F.expr("map(" + ", ".join(f"'{k}', {v}" for k, v in IBAN_LENGTHS.items()) + ")"), country)
+    return (
+        F.when(~clean.rlike("^[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}$"), "format").when(~F.array_contains(known, country), "component")
+        .when(length != F.length(clean), "length").when(~valid_iban(clean), "checksum")
+    )
+
+
+def swift_problem(value: Column, countries: tuple[str, ...] | None = None) -> Column:
+    """Why a bank code is refused (format, component); null if it is valid."""
+    clean = F.upper(F.regexp_replace(F.coalesce(value, F.lit("")), r"[\s-]+", ""))
+    return F.when(~valid_swift(clean), "format").when(~F.array_contains(F.lit(list(countries or iso_countries())), F.substring(clean, 5, 2)), "component")

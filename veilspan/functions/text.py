@@ -70,24 +70,48 @@ def spans(text: Column, pattern: str) -> Column:
     return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
 
 
-#: Ordered redactions of log lines: pattern, replacement.
+# Ordered redactions of log lines, pattern and replacement.
+USER_PATHS = (
+    (r"(?iU)\b[a-z]:[\\/]users[\\/][^\s\\/:]+", "[USER_PATH]"),
+    (r"(?U)(?<!\w)/Users/[^\s\\/:]+", "[USER_PATH]"),
+    (r"(?U)(?<!\w)/home/[^\s\\/:]+", "[USER_PATH]"),
+)
 REDACTIONS = (
-    (r"(?i)\b(sk|api|key)[-_][A-Za-z0-9_-]{16,}", "[KEY]"),
-    (r"(?i)\bbearer\s+[A-Za-z0-9._~+/=-]+", "Bearer [TOKEN]"),
-    (r"(?i)\b(password|passwd|pwd|token|secret)\s*[=:]\s*\S+", "$1=[SECRET]"),
-    (r"[\w.+-]+@[\w-]+(?:\.[\w-]+)+", "[EMAIL]"),
-    (r"(?<!\d)\d{3}-\d{3}-\d{3}[ -]\d{2}(?!\d)", "[SNILS]"),
-    (r"(?<!\d)\d{20}(?!\d)", "[ACCOUNT]"),
-    (r"(?<!\d)(?:\d{4}[ -]?){3}\d{4}(?!\d)", "[CARD]"),
-    (r"(?<![\w+])\+\d[\d ()-]{8,}\d", "[PHONE]"),
-    (r"(?i)(?:/home|/users|c:\\users)[/\\][^/\\\s]+", "[USER_PATH]"),
+    (r"(?U)\bAIza[0-9A-Za-z\-_]{20,50}\b", "[REDACTED_API_KEY]"),
+    (r"(?iU)\bBearer\s+[A-Za-z0-9\-_.]+\b", "Bearer [REDACTED_TOKEN]"),
+    (r"(?iU)\b(api[_-]?key|password|secret|token)\s*[:=]\s*['\"]?([^\s'\"]+)['\"]?", "$1=[REDACTED]"),
+    (r"(?U)\b\d{2}\s*\d{2}\s+\d{6}\b", "[REDACTED_PASSPORT]"),
+    (r"(?U)\b\d{3}[-\s]\d{3}[-\s]\d{3}[-\s]\d{2}\b", "[REDACTED_SNILS]"),
+    (r"(?U)\b[34]\d{19}\b", "[REDACTED_ACCOUNT]"),
+    (r"(?U)\b(?:\d{4}[-\s]){3}\d{4}\b", "[REDACTED_CARD]"),
+    (r"(?iU)\b(инн\s*[:#№]?\s*)\d{10,12}\b", "$1[REDACTED_INN]"),
+    (r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", "[REDACTED_EMAIL]"),
+    (r"(?U)(?:\+7|8)[\s\-(]*\d{3}[\s\-)]*\d{3}[\s\-]*\d{2}[\s\-]*\d{2}\b", "[REDACTED_PHONE]"),
+    *USER_PATHS,
 )
 
 
-def sanitize_log(text: Column, longest: int | None = None) -> Column:
+def sanitize_paths(text: Column, home: str | None = None) -> Column:
+    """User folders (and ``home``, the folder of the process' own user, if given) as a mark."""
+    if home:
+        text = F.replace(F.replace(text, F.lit(home), F.lit("[USER_PATH]")), F.lit(home.replace("\\", "/")), F.lit("[USER_PATH]"))
+    for pattern, mark in USER_PATHS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
+def sanitize_log(text: Column, longest: int | None = None, home: str | None = None) -> Column:
+    """Log lines without user folders, keys, passwords, document numbers, accounts, addresses and phones;
+    beyond ``longest`` characters they end with three dots.  Null stays."""
+    text = sanitize_paths(text, home)
     for pattern, mark in REDACTIONS:
         text = F.regexp_replace(text, pattern, mark)
-    return text if longest is None else F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest - 1), F.lit("…"))).otherwise(text)
+    return text if longest is None else F.when(F.char_length(text) > longest, F.concat(F.substring(text, 1, longest - 3), F.lit("..."))).otherwise(text)
+
+
+def sanitize_error(kind: Column, message: Column, longest: int = 500) -> Column:
+    """Of an exception its class alone, as its message may hold any text; else the redacted message."""
+    return F.when(kind.isNotNull(), sanitize_log(kind, longest)).otherwise(sanitize_log(F.coalesce(message, F.lit("")), longest))
 
 
 def replace_nth(text: Column, token: str, replacement: str, nth: int = 0) -> Column:
@@ -99,7 +123,97 @@ def replace_nth(text: Column, token: str, replacement: str, nth: int = 0) -> Col
 
 TOKEN = r"\[[A-Z][A-Z_]*_\d+\]"
 
+# Fixed value: placeholders of the four bracket styles.
+_BODY = r"[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9 _.:\-]{0,119}"
+PLACEHOLDER = r"(?:\{\{[^{}\n]{1,120}\}\}|\[\[[^\[\]\n]{1,120}\]\]|/" + _BODY + r"/|\[[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9 _.:/\-]{0,119}\])"
+
 
 def placeholders(text: Column) -> Column:
-    """All placeholder tokens, in order."""
-    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
+    """All placeholder tokens of the four bracket styles, in order; none of a null text."""
+    return F.coalesce(F.regexp_extract_all(text, F.lit(PLACEHOLDER), F.lit(0)), F.array().cast("array<string>"))
+
+
+def is_placeholder(value: Column) -> Column:
+    """Whether a whole value is a token of a registry: square brackets or slashes around a short name."""
+    body = r"[A-Za-zА-Яа-яЁё][A-Za-zА-Яа-яЁё0-9 _.:/\-]{0,119}"
+    return F.coalesce((F.char_length(value) <= 160) & value.rlike(rf"^(?:\[{body}\]|/{body}/)\z"), F.lit(False))
+
+
+def protect_placeholders(text: Column) -> Column:
+    """(text, tokens): every token as a numbered sentinel, and the tokens in order."""
+    found, gaps = placeholders(text), F.split(F.coalesce(text, F.lit("")), PLACEHOLDER, -1)
+    marks = F.transform(found, lambda t, i: F.concat(F.lit("<<PH"), i.cast("string"), F.lit(">>")))
+    whole = F.array_join(F.flatten(F.zip_with(gaps, F.concat(marks, F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+    return F.struct(whole.alias("text"), found.alias("tokens"))
+
+
+# Words whose change changes what a sentence says.
+MODALITY = r"(?iU)\b(?:не|нет|нельзя|можно|может|могут|могу|можем|мог\w*|долж\w*|обязан\w*|вправе|запрещ\w*|разреш\w*|must|shall|may|can|cannot|not|should)\b"
+NUMBERS = r"\d+(?:[.,:/-]\d+)*"
+
+
+def rewrite_problem(generated: Column, protected: Column, similarity: Column, least: float = 0.72) -> Column:
+    """Why a rewritten text (with sentinels) isn't taken for the protected one (``protect_placeholders``);
+    null if it is: sentinels, numbers and modal words must be the same in order, no token invented, the
+    length within 0.65 to 1.35 and the similarity (a ratio of matching characters) at least ``least``."""
+    generated = F.coalesce(generated, F.lit(""))
+    text = protected["text"]
+
+    def same(pattern: str, fold: bool = False) -> Column:
+        a, b = (F.lower(c) if fold else c for c in (generated, text))
+        return F.regexp_extract_all(a, F.lit(pattern), F.lit(0)) == F.regexp_extract_all(b, F.lit(pattern), F.lit(0))
+
+    bare = [F.regexp_replace(c, "<<PH[0-9]+>>", "") for c in (generated, text)]
+    ratio = F.char_length(generated) / F.greatest(F.char_length(text), F.lit(1))
+    numbers = F.regexp_extract_all(bare[0], F.lit(NUMBERS), F.lit(0)) == F.regexp_extract_all(bare[1], F.lit(NUMBERS), F.lit(0))
+    return (
+        F.when(~same("<<PH[0-9]+>>"), "sentinels").when(F.size(placeholders(generated)) > 0, "invented placeholder").when(~numbers, "numbers").when(~same(MODALITY, fold=True), "modality")
+        .when(~ratio.between(0.65, 1.35), "length").when(similarity < least, "similarity")
+    )
+
+
+def unprotect(text: Column, tokens: Column) -> Column:
+    """A text with sentinels, the tokens back in their places."""
+    return F.aggregate(F.transform(tokens, lambda t, i: F.struct(F.concat(F.lit("<<PH"), i.cast("string"), F.lit(">>")).alias("mark"), t.alias("t"))), text, lambda acc, p: F.replace(acc, p["mark"], p["t"]))
+
+
+# What copies, edits and versions add to a document's name.
+_EDITS = (
+    r"\(\d+\)|\(\s*копия(?:\s*\d+)?\s*\)|-\s*копия(?:\s*\d+)?|"
+    r"cleaned(?:[_\-]?\d+)?|чистовик(?:[_\-]?\d+)?|правки?(?:[_\-]?\d+)?|исправлен(?:ный|ная|ное|ые)?(?:[_\-]?\d+)?|отредактирован(?:ный|ная|ное|ые)?(?:[_\-]?\d+)?|"
+    r"изменен(?:ный|ная|ное|ые|о)?(?:[_\-]?\d+)?|восстановлен(?:ный|ная|ное|ые|о)?(?:[_\-]?\d+)?|пдн(?:[_\-]?\d+)?|копия(?:[_\-]?\d+)?|"
+    r"ред(?:акция)?(?:[_\-]?\d+)?|версия(?:[_\-]?\d+)?|v\d+|new|draft|final|"
+    r"edited?|mod(?:ified)?|rev(?:ised|ision)?(?:[_\-]?\d+)?|output|result|"
+    r"llm|ai|chatgpt|gpt(?:[_\-]?\d+)?|claude(?:[_\-]?\d+)?|qwen(?:[_\-]?\d+)?|deepseek(?:[_\-]?\d+)?|gemini(?:[_\-]?\d+)?|copilot(?:[_\-]?\d+)?"
+)
+_EDIT_MARKS = (
+    "правк", "чистовик", "исправлен", "отредактирован", "изменен", "ред", "пдн", "копия", "llm", "claude", "chatgpt", "gpt", "qwen", "deepseek", "gemini", "copilot", "ai", "edit", "rev", "draft", "v",
+)
+
+
+def document_stem(stem: Column) -> Column:
+    """A document's name without the marks of copies, edits and versions; the name itself if nothing else
+    is left, empty for null."""
+    stem = F.coalesce(stem, F.lit(""))
+    bare = F.regexp_replace(F.regexp_replace(stem, rf"(?iu)(?:[\s_\-\.]*(?:{_EDITS})[\s_\-\.]*)+$", ""), r"^[ _.\-]+|[ _.\-]+$", "")
+    return F.when(bare == "", stem).otherwise(bare)
+
+
+def is_edited_stem(stem: Column) -> Column:
+    """Whether a document's name says that it's an edited copy."""
+    low = F.lower(F.coalesce(stem, F.lit("")))
+    marks = F.exists(F.array(*[F.lit(m) for m in _EDIT_MARKS]), lambda m: F.contains(low, m)) | F.trim(low).rlike(r"\(\d+\)$")
+    return (F.lower(document_stem(stem)) != low) & marks
+
+
+def replacement_rule(rule: Column) -> Column:
+    """(source, target) of a user's rule ``a=>b``, ``a->b``, ``a=b`` or ``a:b`` (the first of these signs that
+    occurs, in this order); null for an empty rule, a comment, or one without a source."""
+    line = F.trim(F.coalesce(rule, F.lit("")))
+    out = F.lit(None).cast("struct<source:string,target:string>")
+    for sign in (":", "=", "->", "=>"):
+        at = F.instr(line, sign)
+        pair = F.struct(F.trim(F.substr(line, F.lit(1), at - 1)).alias("source"), F.trim(F.substr(line, at + len(sign))).alias("target"))
+        here = (at > 0) & (pair["source"] != "")
+        out = F.when(here, pair).otherwise(out)
+    return F.when((line == "") | line.startswith("#"), F.lit(None).cast("struct<source:string,target:string>")).otherwise(out)

@@ -49,7 +49,7 @@ _DIVISION_NEGATIVE = (
 
 # Candidate shapes, keywords and weights of the deterministic rules.
 RULES: tuple[Rule, ...] = (
-    Rule("inn_checksum", "INN", r"(?<!\d)(?:\d{12}|\d{10})(?!\d)", ("инн", "идентификационный номер", "inn"), ("счет", "счёт", "оквэд", "октмо", "гост", "код ошибки", "артикул", "заказ"), 95, 0.40, C.valid_inn),
+    Rule("inn_checksum", "INN", r"(?<!\d)(?:\d{10}|\d{12})(?!\d)", ("инн", "идентификационный номер", "inn", "инн/кпп", "инн/бик", "инн плательщика", "инн получателя"), ("счет", "счёт", "оквэд", "октмо", "гост", "код ошибки", "артикул", "заказ"), 95, 0.40, C.valid_inn),
     Rule("snils_checksum", "SNILS", r"(?U)(?<!\d)\d{3}[-\s]?\d{3}[-\s]?\d{3}[-\s]?\d{2}(?!\d)", ("снилс", "snils", "страховой номер", "лицевой счет физлица", "страховое свидетельство"), ("телефон", "счет", "индекс", "паспорт"), 95, 0.45, C.valid_snils),
     Rule("ogrn_checksum", "OGRN", r"(?<!\d)\d{13}(?!\d)", ("огрн", "ogrn", "егрюл", "основной государственный регистрационный номер"), ("счет", "номер карты", "заказ", "штрихкод"), 95, 0.50, C.valid_ogrn),
     Rule("ogrnip_checksum", "OGRNIP", r"(?<!\d)\d{15}(?!\d)", ("огрнип", "ogrnip", "егрип", "индивидуальный предприниматель"), ("счет", "номер карты", "заказ"), 95, 0.50, C.valid_ogrn),
@@ -58,7 +58,7 @@ RULES: tuple[Rule, ...] = (
     Rule("oms_policy", "OMS_POLICY", r"(?<!\d)\d{16}(?!\d)", ("омс", "полис омс", "полис", "страховой полис", "медстрах"), ("карта", "счет", "банковская карта"), 85, 0.40, C.valid_oms),
     Rule("passport_series_rf", "PASSPORT_SERIES", r"(?iU)(?<!\d)\d{2}\s?\d{2}(?=\s*(?:№|#|номер|n\b)?\s*\d{6}(?!\d))", ("паспорт", "серия", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180),
     Rule("passport_number_rf", "PASSPORT_NUMBER", r"(?iU)(?<!\d)\d{2}\s?\d{2}[,\s]*(?:№|#|номер|n\b)?\s*\d{6}(?!\d)", ("паспорт", "номер", "паспорта", "выдан", "кем выдан", "дата выдачи", "паспортные данные", "удостоверение личности"), _PASSPORT_NEGATIVE, 85, 0.30, near=60, far=180, tail=6),
-    Rule("passport_division_code", "PASSPORT_DIVISION_CODE", r"(?U)(?<!\d[\s\u00a0.,])(?<!\d)\d{3}[-\s]\d{3}(?!\d)(?![,.]\d{2})(?![\s\u00a0]\d{3})", _DIVISION_POSITIVE, _DIVISION_NEGATIVE, 85, 0.30, C.valid_division_code, near=60, needs_positive=True),
+    Rule("passport_division_code", "PASSPORT_DIVISION_CODE", r"(?U)(?<!\d[\s\u00a0.,])(?<!\d)\d{3}[-\s]\d{3}(?!\d)(?![,\.]\d{2})(?![\s\u00a0]\d{3})", _DIVISION_POSITIVE, _DIVISION_NEGATIVE, 85, 0.30, C.valid_division_code, near=60, needs_positive=True),
     Rule("court_case_number", "COURT_CASE_NUMBER", r"(?U)\bА\d{1,2}-\d{1,8}/\d{2,4}\b|\b(?:\d{1,3}-)?\d{1,8}/\d{2,4}\b|\b\d{1,2}[а-яёА-ЯЁ]?-\d{1,8}/\d{2,4}\b", ("дело", "делу", "арбитражный суд", "суд", "иск", "исковое заявление", "определение", "постановление", "решение суда", "производство"), ("фз", "гост", "договор", "закон", "снип", "статья"), 80, 0.45, C.valid_court_case),
     Rule("ip_address", "IP_ADDRESS", r"(?U)\b(?:25[0-5]|2[0-4]\d|1?\d?\d)(?:\.(?:25[0-5]|2[0-4]\d|1?\d?\d)){3}\b", ("ip", "ip-адрес", "хост", "сеть", "адрес", "сервер", "шлюз"), ("пункт", "п.", "ст.", "версия"), 80, 0.50),
     Rule("iban_international", "IBAN", r"(?U)\b[A-Z]{2}\d{2}[A-Z0-9]{11,30}\b", ("iban", "счёт", "банк", "перевод", "swift"), ("паспорт", "снилс"), 85, 0.40, C.valid_iban),
@@ -89,40 +89,59 @@ def _specs(rules: tuple[Rule, ...]) -> Column:
     return F.expr("array(" + ", ".join(f"named_struct({fields(r)})" for r in rules) + ")")
 
 
-def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, start, end, text, label, rule, priority, confidence and keyword_score of every candidate.
+def row_key(text: Column) -> Column:
+    """Tells rows of one id apart by their text; rows equal in both are equal in all results."""
+    return F.xxhash64(text)
+
+
+def keys_of(df: DataFrame) -> list[str]:
+    """The columns that name a row of texts: doc_id, and row where it is there."""
+    return [c for c in ("doc_id", "row") if c in df.columns]
+
+
+def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text", external: DataFrame | None = None) -> DataFrame:
+    """doc_id, row, start, end, text, label, rule, priority, confidence and keyword_score of every candidate.
 
     Two passes in one scan: the text, and where normalisation changes it the normalised text, its
     candidates placed in the original at ``NORMALIZED`` of the confidence.  Of candidates with equal
-    document, place and label the most confident stays (the one shuffle).  In a pass there's a row for
-    each rule that occurs in a text, then a row for each valid match with the words around it, then its
-    score; each regular expression runs once on a text it occurs in.  A negative word within ``near``
-    vetoes; the score of a positive word falls from 1 at ``near`` to 0 at ``far``; a passed validator
-    lifts the confidence to .85, with a positive word to .95.  Null texts have no candidates.
+    row, place and label the most confident stays (the one shuffle).  In a pass there's a row for
+    each rule that occurs in a text, then a row for each match with the words around it (no row of a
+    match holds the text), then its score; each regular expression runs once on a text it occurs in.
+    A negative word within ``near`` vetoes; the score of a positive word falls from 1 at ``near`` to 0
+    at ``far``; a passed validator lifts the confidence to .85, with a positive word to .95.  Spans of
+    another detector (doc_id, start, end, label over the same ids) join as ``external``.  Null texts
+    have no candidates; repeated ids are told apart by ``row``.
     """
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull())
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).withColumn("row", row_key(F.col("_text")))
+    given = None if external is None else external_candidates(rows, external)
     # the original and its squeezed runs go along with a normalised text
-    rows = rows.select("doc_id", "_text", normalize(F.col("_text")).alias("_norm"), F.regexp_extract_all("_text", F.lit(SQUEEZED), F.lit(0)).alias("found"), F.split("_text", SQUEEZED, -1).alias("gaps"))
+    rows = rows.select("doc_id", "row", "_text", normalize(F.col("_text")).alias("_norm"), F.regexp_extract_all("_text", F.lit(SQUEEZED), F.lit(0)).alias("found"), F.split("_text", SQUEEZED, -1).alias("gaps"))
     raw = F.struct(F.col("_text").alias("text"), F.lit(None).cast("string").alias("origin"), F.lit(None).cast(f"array<{SPAN}>").alias("runs"))
     norm = F.struct(F.col("_norm").alias("text"), F.col("_text").alias("origin"), placed(F.col("found"), F.col("gaps")).alias("runs"))
-    rows = rows.select("doc_id", F.explode(F.array_compact(F.array(raw, F.when(F.col("_norm") != F.col("_text"), norm)))).alias("v"))
-    rows = rows.select("doc_id", F.col("v.text").alias("_text"), F.col("v.origin").alias("origin"), F.col("v.runs").alias("runs"))
-    occurs = F.array(*[F.when(F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"))) for i, r in enumerate(rules)])
-    by_rule = rows.select("doc_id", "_text", "origin", "runs", F.explode(F.array_compact(occurs)).alias("o"))
-    cut = by_rule.select("doc_id", "origin", "runs", "o.rule", "o.tail", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"))
-    each = cut.select("doc_id", "origin", "runs", "rule", "tail", "lower", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s"))
-    begin = F.when(F.col("tail") > 0, F.col("s.end") - F.col("tail")).otherwise(F.col("s.start"))
-    surface = F.when(F.col("tail") > 0, F.substr("s.text", -F.col("tail"))).otherwise(F.col("s.text"))
-    each = each.select("doc_id", "origin", "runs", "rule", "lower", begin.alias("start"), F.col("s.end").alias("end"), surface.alias("text"))
-
+    rows = rows.select("doc_id", "row", F.explode(F.array_compact(F.array(raw, F.when(F.col("_norm") != F.col("_text"), norm)))).alias("v"))
+    rows = rows.select("doc_id", "row", F.col("v.text").alias("_text"), F.col("v.origin").alias("origin"), F.col("v.runs").alias("runs"))
+    occurs = F.array(*[F.when(F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"), F.lit(r.far).alias("far"))) for i, r in enumerate(rules)])
+    by_rule = rows.select("doc_id", "row", "_text", "origin", "runs", F.explode(F.array_compact(occurs)).alias("o"))
+    cut = by_rule.select(
+        "doc_id", "row", "origin", "runs", "o.rule", "o.tail", "o.far", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"),
+    )
+
+    def around(s: Column) -> Column:
+        tail, far, lower, origin, runs = (F.col(c) for c in ("tail", "far", "lower", "origin", "runs"))
+        begin = F.when(tail > 0, s["end"] - tail).otherwise(s["start"])
+        left = F.substr(lower, F.greatest(begin - far, F.lit(0)) + 1, F.least(begin, far))
+        start, end = (F.when(origin.isNull(), at).otherwise(unsqueezed(at, runs)) for at in (begin, s["end"]))
+        found = F.when(tail > 0, F.substr(s["text"], -tail)).otherwise(s["text"])
+        surface = F.when(origin.isNull(), found).otherwise(F.substr(origin, start + 1, end - start))
+        fields = {"start": start, "end": end, "found": found, "text": surface, "left": left, "right": F.substr(lower, s["end"] + 1, far), "again": origin.isNotNull()}
+        return F.struct(*[c.alias(k) for k, c in fields.items()])
+
+    each = cut.select("doc_id", "row", "rule", F.explode(F.transform(placed(F.col("found"), F.col("gaps")), around)).alias("m")).select("doc_id", "row", "rule", "m.*")
     checked = [(i, r.validator) for i, r in enumerate(rules) if r.validator]
     if checked:
-        valid = reduce(lambda acc, c: acc.when(F.col("rule") == c[0], c[1](F.col("text"))), checked[1:], F.when(F.col("rule") == checked[0][0], checked[0][1](F.col("text"))))
+        valid = reduce(lambda acc, c: acc.when(F.col("rule") == c[0], c[1](F.col("found"))), checked[1:], F.when(F.col("rule") == checked[0][0], checked[0][1](F.col("found"))))
         each = each.where(valid.otherwise(F.lit(True)))
-    far = F.get(F.array(*[F.lit(r.far) for r in rules]), F.col("rule"))
-    left = F.substr("lower", F.greatest(F.col("start") - far, F.lit(0)) + 1, F.least(F.col("start"), far))
-    near_by = each.select("doc_id", "origin", "runs", "rule", "start", "end", "text", left.alias("left"), F.substr("lower", F.col("end") + 1, far).alias("right"), F.get(_specs(rules), F.col("rule")).alias("spec"))
-
+    near_by = each.withColumn("spec", F.get(_specs(rules), F.col("rule")))
     left, right, spec = F.col("left"), F.col("right"), F.col("spec")
 
     def decay(word: Column) -> Column:
@@ -133,22 +152,43 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     scored = near_by.withColumn("keyword_score", F.coalesce(F.array_max(F.transform(spec["positive"], decay)), F.lit(0.0))).where(~spec["strict"] | (F.col("keyword_score") > 0))
     confidence = spec["base"] + F.col("keyword_score") * spec["weight"]
     confidence = F.when(spec["checked"], F.greatest(confidence, F.when(F.col("keyword_score") > 0, 0.95).otherwise(0.85))).otherwise(confidence)
-    confidence = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0))
-    out = scored.select("doc_id", "start", "end", "text", "spec.label", "spec.rule", "spec.priority", confidence.alias("confidence"), "keyword_score", "origin", "runs")
-    start, end = (F.when(F.col("origin").isNull(), F.col(c)).otherwise(unsqueezed(F.col(c), F.col("runs"))) for c in ("start", "end"))
-    out = out.withColumns({"start": start, "end": end, "confidence": F.when(F.col("origin").isNull(), F.col("confidence")).otherwise(F.col("confidence") * NORMALIZED)})
-    out = out.withColumn("text", F.when(F.col("origin").isNull(), F.col("text")).otherwise(F.substr("origin", F.col("start") + 1, F.col("end") - F.col("start"))))
+    confidence = F.least(F.greatest(confidence, F.lit(0.0)), F.lit(1.0)) * F.when(F.col("again"), NORMALIZED).otherwise(1.0)
+    out = scored.where("end > start").select("doc_id", "row", "start", "end", "text", "spec.label", "spec.rule", "spec.priority", confidence.alias("confidence"), "keyword_score")
+    if given is not None:
+        out = out.unionByName(given)
     best = F.max(F.struct("confidence", "keyword_score", "priority", "rule", "text")).alias("b")
-    return out.groupBy("doc_id", "start", "end", "label").agg(best).select("doc_id", "start", "end", "b.text", "label", "b.rule", "b.priority", "b.confidence", "b.keyword_score")
+    return out.groupBy("doc_id", "row", "start", "end", "label").agg(best).select("doc_id", "row", "start", "end", "b.text", "label", "b.rule", "b.priority", "b.confidence", "b.keyword_score")
+
+
+# Priorities and confidence of spans that another detector gives.
+EXTERNAL_PRIORITY = {"PER": 80, "ORG": 75}
+EXTERNAL_OTHER, EXTERNAL_CONFIDENCE = 70, 0.92
+
+
+def external_candidates(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """Spans of another detector (doc_id, start, end, label) as candidates of every row of their id; spans
+    outside the text, and empty ones, are left out."""
+    priority = F.lit(EXTERNAL_OTHER)
+    for label, value in EXTERNAL_PRIORITY.items():
+        priority = F.when(F.col("label") == label, value).otherwise(priority)
+    given = spans.select(F.col("doc_id").alias("_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")
+    both = rows.join(given, F.col("doc_id").eqNullSafe(F.col("_id"))).where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("_text")))
+    surface = F.substr("_text", F.col("start") + 1, F.col("end") - F.col("start"))
+    return both.select("doc_id", "row", "start", "end", surface.alias("text"), "label", F.lit("external").alias("rule"), priority.alias("priority"), F.lit(EXTERNAL_CONFIDENCE).alias("confidence"), F.lit(0.0).alias("keyword_score"))
 
 
 def merge_exact(found: DataFrame) -> DataFrame:
-    """One row per span: noisy-or confidence (each clamped to .01 to .99), the label of the largest
-    (priority, confidence), the largest priority."""
-    doubt = F.exp(F.sum(F.log(1 - F.least(F.greatest("confidence", F.lit(0.01)), F.lit(0.99)))))
-    return found.groupBy("doc_id", "start", "end").agg(
-        F.max(F.struct("priority", "confidence", "label", "text")).alias("best"), F.round(1 - doubt, 6).alias("merged"), F.count("*").alias("n")
-    ).select("doc_id", "start", "end", F.col("best.text").alias("text"), F.col("best.label").alias("label"), F.col("best.priority").alias("priority"), F.when(F.col("n") == 1, F.col("best.confidence")).otherwise(F.col("merged")).alias("confidence"))
+    """One row per span: noisy-or confidence (each clamped to .01 to .99), text and label of the largest
+    (priority, confidence), of equal ones that of the earlier rule, the largest priority, and the rules
+    joined by plus signs."""
+    order = F.coalesce(F.array_position(F.lit([r.name for r in RULES]), F.col("rule")), F.lit(0))
+    doubts = F.array_sort(F.collect_list(1 - F.least(F.greatest("confidence", F.lit(0.01)), F.lit(0.99))))
+    keys = keys_of(found)
+    best = F.max(F.struct("priority", "confidence", (-order).alias("order"), "label", "text")).alias("best")
+    sources = F.array_join(F.array_sort(F.collect_set("rule")), "+").alias("sources")
+    merged = found.groupBy(*keys, "start", "end").agg(best, (1 - F.aggregate(doubts, F.lit(1.0), lambda p, d: p * d)).alias("merged"), F.count("*").alias("n"), sources)
+    confidence = F.when(F.col("n") == 1, F.col("best.confidence")).otherwise(F.col("merged"))
+    return merged.select(*keys, "start", "end", "best.text", "best.label", "best.priority", confidence.alias("confidence"), "sources")
 
 
 def _overlap(a: Column, b: Column) -> Column:
@@ -158,10 +198,11 @@ def _overlap(a: Column, b: Column) -> Column:
 def resolve(found: DataFrame) -> DataFrame:
     """Non-overlapping spans: exact merges, then a fold in order of priority, confidence and length.
 
-    A group is one document's candidates, not a corpus key; its order and the choice are one
-    expression, without Python."""
+    A group is one row's candidates, not a corpus key; its order and the choice are one expression,
+    without Python.  Candidates need doc_id (and row, where ids repeat), start, end, text, label, rule,
+    priority and confidence."""
     merged = merge_exact(found)
-    key = F.struct((-F.col("priority")).alias("p"), (-F.bround("confidence", 2)).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "text", "label", "priority", "confidence")
+    key = F.struct((-F.col("priority")).alias("p"), (-F.bround("confidence", 2)).alias("c"), (F.col("start") - F.col("end")).alias("l"), "start", "end", "text", "label", "priority", "confidence", "sources")
 
     def step(kept: Column, c: Column) -> Column:
         def dominates(e: Column) -> Column:
@@ -172,13 +213,15 @@ def resolve(found: DataFrame) -> DataFrame:
 
         return F.when(F.exists(kept, dominates), kept).otherwise(F.array_append(F.filter(kept, lambda e: ~_overlap(e, c)), c))
 
-    grouped = merged.groupBy("doc_id").agg(F.sort_array(F.collect_list(key)).alias("all"))
+    keys = keys_of(found)
+    grouped = merged.groupBy(*keys).agg(F.sort_array(F.collect_list(key)).alias("all"))
     kept = F.aggregate("all", F.filter(F.slice("all", 1, 1), lambda x: F.lit(False)), step)
-    return grouped.select("doc_id", F.explode(kept).alias("s")).select("doc_id", *[f"s.{c}" for c in ("start", "end", "text", "label", "priority", "confidence")])
+    return grouped.select(*keys, F.explode(kept).alias("s")).select(*keys, *[f"s.{c}" for c in ("start", "end", "text", "label", "priority", "confidence", "sources")])
 
 
 def longest_first(found: DataFrame) -> DataFrame:
     """Non-overlapping spans by greatest length, earlier ones first on equal lengths."""
-    grouped = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("l"), "start", "end", "label", "text"))).alias("all"))
+    keys = keys_of(found)
+    grouped = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct((F.col("start") - F.col("end")).alias("l"), "start", "end", "label", "text"))).alias("all"))
     kept = F.aggregate("all", F.filter(F.slice("all", 1, 1), lambda x: F.lit(False)), lambda acc, c: F.when(F.exists(acc, lambda e: _overlap(e, c)), acc).otherwise(F.array_append(acc, c)))
-    return grouped.select("doc_id", F.explode(kept).alias("s")).select("doc_id", "s.start", "s.end", "s.text", "s.label")
+    return grouped.select(*keys, F.explode(kept).alias("s")).select(*keys, "s.start", "s.end", "s.text", "s.label")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilspan.functions import checksums as C
-from veilspan.functions.text import sanitize_log
 from veilspan.operators import detection as D
 from veilspan.operators import evaluation as E
 from veilspan.operators import masking as M
@@ -26,8 +25,8 @@ def detect_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, found = _docs(spark, sf_dir), detect_spans(spark, sf_dir)
-    found = found.select("doc_id", F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "text", "label")
+    docs = _docs(spark, sf_dir)
+    found = D.resolve(D.candidates(docs))
     masked = M.mask(docs, found, M.registry(found))
     return masked.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), "n_replaced")
 
@@ -52,10 +51,6 @@ def checksum_luhn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ids(spark, sf_dir).select("o_orderkey", C.valid_luhn(value).alias("ok"))
 
 
-def redacted_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.size(F.regexp_extract_all(sanitize_log(F.col("text")), F.lit(r"\[EMAIL\]"), F.lit(0))).cast("long").alias("n"))
-
-
 def document_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).groupBy(E.split_of(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("split")).agg(F.count("*").alias("n"))
 
@@ -85,7 +80,7 @@ def label_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.deficits(p, g, 3000)
 
 
-QUERIES = {f.__name__: f for f in (detect_spans, mask_documents, checksum_inn, checksum_snils, checksum_ogrn, checksum_luhn, redacted_emails, document_splits, gold_metrics, gold_confusion, review_queue, label_deficits)}
+QUERIES = {f.__name__: f for f in (detect_spans, mask_documents, checksum_inn, checksum_snils, checksum_ogrn, checksum_luhn, document_splits, gold_metrics, gold_confusion, review_queue, label_deficits)}
 
 _D = "CAST(substr(v, {}, 1) AS INT)"
 
@@ -104,7 +99,6 @@ ORACLE = {
     "checksum_snils": f"SELECT o_orderkey, {_sum(list(range(9, 0, -1)))} % 101 % 100 = CAST(substr(v, 10, 2) AS INT) AS ok FROM ({_IDS.format('body || lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, chr(48))')})",
     "checksum_ogrn": f"SELECT o_orderkey, CAST(substr(v, 1, 12) AS BIGINT) % 11 % 10 = {_D.format(13)} AS ok FROM ({_IDS.format(chr(39) + '102' + chr(39) + ' || body || CAST(o_orderkey % 10 AS VARCHAR)')})",
     "checksum_luhn": f"SELECT o_orderkey, ({_LUHN}) % 10 = 0 AS ok FROM ({_IDS.format(chr(39) + '400000' + chr(39) + ' || body || CAST(o_orderkey % 10 AS VARCHAR)')})",
-    "redacted_emails": r"SELECT doc_id, CAST(len(regexp_extract_all(text, '[\w.+-]+@[\w-]+(?:\.[\w-]+)+')) AS BIGINT) AS n FROM documents",
     "document_splits": "SELECT CASE WHEN b >= 80 THEN 'test' WHEN b >= 70 THEN 'dev' ELSE 'train' END AS split, count(*) AS n FROM (SELECT CAST(('0x' || substr(sha256(coalesce(text, '')), 1, 8)) AS BIGINT) % 100 AS b FROM documents) GROUP BY 1",
     "gold_metrics": f"""WITH {_GOLD}, g AS (SELECT doc_id, start, "end", layout, label, count(*) AS g FROM e GROUP BY ALL), q AS (SELECT doc_id, start, "end", layout, label, count(*) AS p FROM p GROUP BY ALL),
 b AS (SELECT label, layout, least(coalesce(g, 0), coalesce(p, 0)) AS tp, greatest(coalesce(p, 0) - coalesce(g, 0), 0) AS fp, greatest(coalesce(g, 0) - coalesce(p, 0), 0) AS fn FROM g FULL JOIN q USING (doc_id, start, "end", layout, label)),
