@@ -190,7 +190,33 @@ def sufficient_address(text: Column) -> Column:
     return (F.char_length(t) >= 4) & (street & (house | district | number | t.rlike(_NAMED_STREET)) | district & (house | number))
 
 
-def near_address_mark(text: Column, start: Column, marks: tuple[str, ...]) -> Column:
+def near_address_mark(text: Column, start: Column, marks: tuple[str, ...] | None = None) -> Column:
     """Whether one of the marks stands in the 25 characters before a place."""
     window = F.lower(F.substr(text, F.greatest(start - 25, F.lit(0)) + 1, F.least(start, F.lit(25))))
-    return _holds_any(window, marks)
+    return _holds_any(window, marks or ADDRESS_MARKS)
+
+
+# What a sentence about a contract says, and marks that an address must have.
+_CONTRACT_WORDS = (
+    r"\b(?:случае|если|когда|где|там|здесь|тогда|потом|после|перед)\b", r"\b(?:оплат|платеж|стоимость|сумм|договор|услуг|работ)\b", r"\b(?:заказчик|исполнитель|подрядчик|клиент|стороны)\b",
+    r"\b(?:уплачивает|получает|передает|выполняет|обязуется)\b", r"\b(?:с\s+обязательным|обязательным|соблюдением)\b", r"\b(?:этап|этапа|этапу|этапе|этапом|этапы|этапов)\b",
+    r"\b(?:материал|материала|материалу|материале|материалом|материалы|материалов)\b", r"\b(?:условии|условие|условия|условий|условиям|условиями)\b",
+    r"\b(?:завершении|завершение|завершения|завершению)\b", r"\b(?:работа|работы|работе|работу|работой|работ)\b", r"\b(?:проект|проекта|проекту|проекте|проектом|проекты|проектов)\b",
+)
+_MUST_HAVE = (
+    r"\b(?:г\.|город|гор\.)\s*[А-ЯЁ][а-яё]+", r"\b(?:ул\.|улица)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:пр\.|пр-т|проспект)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:пер\.|переулок)\s*[А-ЯЁ][а-яё\s]+",
+    r"\b(?:ш\.|шоссе)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:наб\.|набережная)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:пл\.|площадь)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:б-р|бульвар)\s*[А-ЯЁ][а-яё\s]+",
+    r"\b(?:тер\.|территория)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:обл\.|область)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:р[.-]н|район)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:пос\.|поселок|посёлок)\s*[А-ЯЁ][а-яё\s]+",
+    r"\b(?:с\.|село)\s*[А-ЯЁ][а-яё\s]+", r"\b(?:д\.|дом)\s*\d+[а-яёА-ЯЁ]?", r"\b(?:кв\.|квартира)\s*\d+", r"\b(?:стр\.|строение)\s*\d+", r"\b(?:корп\.|корпус)\s*\d+[а-яёА-ЯЁ]?", r"\b(?:оф\.|офис)\s*\d+[а-яёА-ЯЁ]?",
+)
+_LONE_TOWN = (r"^[А-ЯЁ][а-яё]{2,}(?:ск|рск|нск|цк|ия|ье|во|но|ты|ки|ев|ов|ин|ын|ург|град|город)$", r"^[А-ЯЁ][а-яё]{2,6}[ейыаи]?$")
+ADDRESS_MARKS = ("г.", "город", "ул.", "улица", "д.", "дом", "обл.", "область", "р-н", "район", "мкр.", "микрорайон", "пр.", "проспект", "пер.", "переулок", "ш.", "шоссе", "кв.", "квартира")
+
+
+def address_of_marks(text: Column) -> Column:
+    """An address by its marks, or a lone word that looks like a town, without the words of contracts."""
+    t = F.trim(_text(text))
+    contract = t.rlike("(?iU)" + "|".join(_CONTRACT_WORDS))
+    marked = t.rlike("(?iU)" + "|".join(_MUST_HAVE))
+    lone = ~t.rlike(r"(?U)\s") & (t.rlike(_LONE_TOWN[0]) | t.rlike(_LONE_TOWN[1]) & (F.char_length(t) >= 4))
+    return (F.char_length(t) >= 2) & ~contract & (marked | lone)
