@@ -48,3 +48,49 @@ def coverage(records: DataFrame) -> DataFrame:
 def template_leaks(records: DataFrame) -> DataFrame:
     """Templates that occur in more than one split."""
     return records.groupBy("template_id").agg(F.count_distinct("split").alias("splits")).where("splits > 1")
+
+
+# Versions of rows and states of a task.
+VERSIONS = ("gold-annotation-v1", "gold-queue-v1")
+STATES = ("pending", "model_reviewed", "accepted", "rejected")
+
+
+def add_manual(tasks: DataFrame, added: DataFrame) -> DataFrame:
+    """``tasks`` with tasks made by hand; one that is there already fails the query."""
+    twice = added.join(tasks.select("task_id"), "task_id", "left_semi").withColumn("status", F.raise_error(F.lit("a task of that id exists")).cast("string"))
+    return tasks.unionByName(added.join(tasks.select("task_id"), "task_id", "left_anti")).unionByName(twice)
+
+
+def model_review(tasks: DataFrame, agrees: Column, model: str) -> DataFrame:
+    """Pending tasks reviewed beforehand by a model: a state of its own with a fixed confidence (.55 where it
+    agrees, else .35), never an acceptance."""
+    review = F.struct(F.lit("model_reviewed").alias("status"), F.lit(model).alias("model"), F.when(agrees, 0.55).otherwise(0.35).alias("confidence"))
+    pending = F.col("status") == "pending"
+    return tasks.withColumn("review", F.when(pending, review)).withColumn("status", F.when(pending, F.lit("model_reviewed")).otherwise(F.col("status")))
+
+
+def gold_errors(labels: Column, versions: tuple[str, ...] = VERSIONS) -> Column:
+    """What is wrong with a gold row, as an array of names, from the columns schema_version, doc_id, task_id,
+    source_sha256, text_sha256, surface_policy, real, start, end, label, layout, surface_sha256, status,
+    annotator_status and annotator_id; ``labels`` is an array of the registered ones."""
+    digest = r"^[a-f0-9]{64}\z"
+    given = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) != ""
+    accepted = F.coalesce(F.col("status") == "accepted", F.lit(False))
+    checks = {
+        "schema_version": F.col("schema_version").isin(*versions), "document_id": given("doc_id"), "task_id": given("task_id"), "source_sha256": F.col("source_sha256").rlike(digest),
+        "text_sha256": F.col("text_sha256").rlike(digest), "surface_policy": F.col("surface_policy") == "hash_only", "real": F.col("real"), "span": (F.col("start") >= 0) & (F.col("end") > F.col("start")),
+        "label": F.array_contains(labels, F.col("label")), "surface_sha256": ~given("surface_sha256") | F.col("surface_sha256").rlike(digest), "accepted_surface": ~accepted | F.col("surface_sha256").rlike(digest),
+        "status": F.col("status").isin(*STATES), "annotator": ~accepted | ((F.col("annotator_status") == "confirmed") & given("annotator_id")),
+    }
+    return F.array_compact(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), name) for name, ok in checks.items()]))
+
+
+def review_rows(queue: DataFrame, texts: DataFrame, around: int = 120) -> DataFrame:
+    """Queue rows with their surface and its surroundings (the span in double angle brackets), from the
+    texts (doc_id, text) by offset; rows whose surface doesn't have the queue's hash are left out."""
+    both = queue.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_id")))
+    start, end = F.col("start").cast("int"), F.col("end").cast("int")
+    surface = F.substr("_t", start + 1, end - start)
+    left = F.substr("_t", F.greatest(start - around, F.lit(0)) + 1, F.least(start, F.lit(around)))
+    shown = F.concat(left, F.lit("\u27e6"), surface, F.lit("\u27e7"), F.substr("_t", end + 1, F.lit(around)))
+    return both.where(F.sha2(surface, 256) == F.col("surface_sha256")).withColumns({"surface": surface, "context": shown}).drop("_id", "_t")

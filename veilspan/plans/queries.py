@@ -106,7 +106,7 @@ s AS (SELECT 'micro' AS scope, '' AS name, * EXCLUDE (label, layout) FROM b UNIO
 t AS (SELECT scope, name, CAST(sum(tp) AS BIGINT) AS tp, CAST(sum(fp) AS BIGINT) AS fp, CAST(sum(fn) AS BIGINT) AS fn FROM s GROUP BY ALL),
 r AS (SELECT *, CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END AS pr, CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END AS re FROM t)
 SELECT scope, name, tp, fp, fn, round(pr, 6) AS precision, round(re, 6) AS recall, round(CASE WHEN pr + re > 0 THEN 2 * pr * re / (pr + re) ELSE 0.0 END, 6) AS f1 FROM r""",
-    "gold_confusion": f"""WITH {_GOLD} SELECT e.label AS gold_label, p.label AS predicted_label, count(*) AS n FROM e JOIN p USING (doc_id, start, "end", layout) WHERE e.label <> p.label GROUP BY ALL""",
+    "gold_confusion": f"""WITH {_GOLD}, g AS (SELECT doc_id, start, "end", layout, max(label) AS label FROM e GROUP BY ALL) SELECT g.label AS gold_label, p.label AS predicted_label, count(*) AS n FROM g JOIN p USING (doc_id, start, "end", layout) WHERE g.label <> p.label GROUP BY ALL""",
     "review_queue": f"""WITH {_GOLD} SELECT doc_id, start, "end", layout, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY doc_id, start, "end") AS r FROM e) WHERE r <= 200""",
     "label_deficits": f"""WITH {_GOLD} SELECT label, coalesce(a, 0) AS available, coalesce(d, 0) AS documents, greatest(3000 - coalesce(a, 0), 0) AS deficit FROM (SELECT DISTINCT label FROM e) LEFT JOIN (SELECT label, count(*) AS a, count(DISTINCT doc_id) AS d FROM p GROUP BY label) USING (label)""",
 }
