@@ -166,13 +166,16 @@ EXTERNAL_OTHER, EXTERNAL_CONFIDENCE = 70, 0.92
 
 
 def external_candidates(rows: DataFrame, spans: DataFrame) -> DataFrame:
-    """Spans of another detector (doc_id, start, end, label) as candidates of every row of their id; spans
-    outside the text, and empty ones, are left out."""
+    """Spans of another detector (doc_id, start, end, label) as candidates of every row of their id, or of the
+    one row where they have ``row`` (as ``fields.field_spans`` gives them); spans outside the text, and
+    empty ones, are left out."""
     priority = F.lit(EXTERNAL_OTHER)
     for label, value in EXTERNAL_PRIORITY.items():
         priority = F.when(F.col("label") == label, value).otherwise(priority)
-    given = spans.select(F.col("doc_id").alias("_id"), F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")
-    both = rows.join(given, F.col("doc_id").eqNullSafe(F.col("_id"))).where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("_text")))
+    own = [F.col("row").alias("_row")] if "row" in spans.columns else []
+    given = spans.select(F.col("doc_id").alias("_id"), *own, F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label")
+    same = F.col("doc_id").eqNullSafe(F.col("_id"))
+    both = rows.join(given, same & (F.col("row") == F.col("_row")) if own else same).where((F.col("start") >= 0) & (F.col("end") > F.col("start")) & (F.col("end") <= F.char_length("_text")))
     surface = F.substr("_text", F.col("start") + 1, F.col("end") - F.col("start"))
     return both.select("doc_id", "row", "start", "end", surface.alias("text"), "label", F.lit("external").alias("rule"), priority.alias("priority"), F.lit(EXTERNAL_CONFIDENCE).alias("confidence"), F.lit(0.0).alias("keyword_score"))
 
