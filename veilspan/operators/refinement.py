@@ -6,9 +6,13 @@ unchanged.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from veilspan.functions.text import placed
+from veilspan.functions.values import sufficient_address
+from veilspan.operators.detection import row_key
+
 # Shapes and captions.
 _WEBSITE = (
     r"(?i)(?:(?:https?|ftp)://[^\s<>\[\]]+|www\.[A-Za-zА-Яа-яЁё0-9-]+(?:\.[A-Za-zА-Яа-яЁё0-9-]+)+(?:[/?:#][^\s<>\[\]]*)?|"
@@ -76,3 +80,98 @@ def refined_start(text: Column, start: Column, end: Column, label: Column) -> Co
     line = F.element_at(F.split(F.substr(text, F.lit(1), address), "\n"), -1)
     postal = F.char_length(F.regexp_extract(line, _POSTAL_BEFORE, 0))
     return F.coalesce(F.when(label.isin("PHONE_NUMBER", "EMAIL", "WEBSITE"), contact).when(label == "ADDRESS", address - postal).otherwise(start), start)
+
+
+#: Parts of an address behind a street, with their numbers; months, which no house number stands before.
+_PART = r"(?:дом|д|владение|вл|строение|стр|корпус|корп|к|литера|лит|секция|квартира|кв|офис|оф|помещение|помещ|пом|комната|комн|ком|кабинет|каб|этаж|эт|подъезд|под|блок|участок|уч|building|bldg|floor|fl|suite|ste|office|apt|room)"
+_MONTHS = "января|февраля|марта|апреля|мая|июня|июля|августа|сентября|октября|ноября|декабря"
+_SEGMENT = rf"[\s,;./–—-]*(?:{_PART}\b\.?[\s.:№/–—-]*(?!(?:{_MONTHS})\b)[\p{{L}}\d]{{1,5}}(?:[/-][\p{{L}}\d]{{1,4}})?\b|\d+/\d+\b|\d{{6}}\b|\d{{1,4}}[а-яa-z]?\b(?=\s*,)(?!\s*(?:{_MONTHS})\b))"
+_CONNECTOR = rf"(?iU)^[\s,;./–—-]*(?:(?:{_PART}|г|гор|город|ул|улица|пер|переулок|пр-кт|проспект|ш|шоссе|пос|поселок|дер|деревня|село|с|район|р-н|[№#]?\s?\d+(?:[/.-]\d+)*[а-яa-z]?)\b[\s,;./–—-]*)*\z"
+_STOP = r"(?iU)\b(?:доверенност|уполномоч|зарегистрирован|проживающ|паспорт|договор|именуем|действующ|гражданин)\w*|(?-i:[.!?]\s+[А-ЯЁ])"
+_TOWN = r"(?iU)\b(?:г\.|гор\.|город\b|пос\.|деревня\b|село\b|пгт\b)"
+#: The longest text between two parts of one address.
+_LONGEST_GAP = 120
+
+
+def address_end(text: Column, end: Column) -> Column:
+    """The end of an address with the house, flat and office that follow it; what is left of separators at the
+    end doesn't belong to it.  A number before a month's name isn't one."""
+    tail = F.regexp_extract(F.substr(text, end + 1), rf"(?iU)^(?:{_SEGMENT})+", 0)
+    tail = F.regexp_replace(F.regexp_replace(tail, r"(?s)\n\s*\n.*", ""), r"[\s,;:-]+\z", "")
+    return F.coalesce(end + F.char_length(tail), end)
+
+
+def is_valid_address(text: Column, start: Column, end: Column) -> Column:
+    """A sufficient address, or one behind a caption of an address."""
+    return sufficient_address(F.substr(text, start + 1, end - start)) | has_address_marker(text, start)
+
+
+def is_explicit_postal_address(text: Column, start: Column, end: Column) -> Column:
+    """A caption of an address in the 48 characters in front and a postal part (index, street, house) within."""
+    surface = F.substr(text, start + 1, end - start)
+    return F.coalesce(before(text, start, 48).rlike(_ADDRESS_MARKER), F.lit(False)) & F.coalesce(surface.rlike(r"(?iU)\b\d{6}\b|\b(?:ул|пер|пр-кт|просп|ш|наб|б-р|д|дом|кв|корп|стр|оф)\b\.?\s*[\p{L}\d]"), F.lit(False))
+
+
+def is_institution_epithet(text: Column, start: Column) -> Column:
+    """Whether a name is an institution's ("university named after ..."), by the 180 characters in front."""
+    return F.coalesce(before(text, start, 180).rlike(r"(?iU)\b(?:университет|институт|академи|школ|гимнази|лице|колледж|больниц|музе|театр|библиотек|завод|центр|госпитал|училищ)\w*[^.!?;]{0,90}\b(?:имени|им\.)\s*$"), F.lit(False))
+
+
+def is_term(text: Column, start: Column, end: Column) -> Column:
+    """Whether a word is an abbreviation or a term of the text: spelt out in brackets behind it, defined by a
+    numbered item with a dash, or a short word in capitals in a text that isn't, behind no mark of a place."""
+    token, after = F.substr(text, start + 1, end - start), F.ltrim(F.substr(text, end + 1))
+    inside = F.regexp_extract(after, r"^\(([^)]*)\)", 1)
+    words = F.regexp_extract_all(inside, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
+    initials = F.array_join(F.transform(words, lambda w: F.upper(F.substring(w, 1, 1))), "")
+    spelt = (F.size(words) >= 2) & (F.contains(initials, F.upper(token)) | ~inside.rlike(r"(?iU)\b(?:город|страна|область|регион|district|city|state)\b|г\."))
+    defined = before(text, start, 25).rlike(r"(?iU)(?:^\s*\d+\.\d+\.?|\b(?:раздел|пункт|термин)\b)\s*$") & after.rlike(r"^[–—-]\s+\p{L}")
+    letters = F.regexp_replace(text, r"[^\p{L}]", "")
+    share = F.char_length(F.regexp_replace(letters, r"[^\p{Lu}]", "")) / F.greatest(F.char_length(letters), F.lit(1))
+    place = before(text, start, 30).rlike(r"(?iU)\b(?:г\.|город|пос\.|дер\.|деревня|село|с\.|район|р-н|ул\.|улица|пер\.|переулок|проспект|шоссе|ш\.|наб\.|адрес|находящ\w*)\s*$")
+    capitals = token.rlike(r"^(?=.*\p{Lu})[^\p{Ll}]{2,5}$") & ~place & (share < 0.6)
+    return F.coalesce(spelt | defined | capitals, F.lit(False))
+
+
+def merged_addresses(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """doc_id, start, end and label of all spans, neighbouring ADDRESS spans of a text put together.
+
+    Each is first freed of its caption, given its postal index and its house and flat.  Two are one if they
+    touch, or if nothing but parts of an address stands between them (120 characters at most, no sentence's
+    end, not both with a town); another span between them parts them.  Addresses that aren't valid then
+    are left out.  Spans and texts are matched by doc_id (ids unique); a text's spans are one row.
+    """
+    per = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"), "label"))).alias("spans"))
+    rows = per.join(texts.select(F.col("doc_id").alias("_id"), F.col("text").alias("_t")), F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    text = F.col("_t")
+    fixed = F.transform("spans", lambda s: F.when(s["label"] == "ADDRESS", F.struct(refined_start(text, s["start"], s["end"], s["label"]).cast("int").alias("start"), address_end(text, s["end"]).cast("int").alias("end"), s["label"].alias("label"))).otherwise(s))
+    part = lambda a, b: F.substr(text, a + 1, b - a)
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.try_element_at(acc, F.lit(-1))
+        gap = part(last["end"], s["start"])
+        fits = (F.char_length(gap) <= _LONGEST_GAP) & gap.rlike(_CONNECTOR) & ~gap.rlike(_STOP) & ~(part(last["start"], last["end"]).rlike(_TOWN) & part(s["start"], s["end"]).rlike(_TOWN))
+        joins = (F.size(acc) > 0) & (last["label"] == "ADDRESS") & (s["label"] == "ADDRESS") & ((s["start"] <= last["end"]) | fits)
+        one = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["label"].alias("label"))
+        return F.when(F.coalesce(joins, F.lit(False)), F.array_append(F.slice(acc, F.lit(1), F.size(acc) - 1), one)).otherwise(F.array_append(acc, s))
+
+    # the corrected spans are a column of their own: the fold reads each several times
+    rows = rows.select("doc_id", "_t", fixed.alias("fixed")).select("doc_id", "_t", F.aggregate("fixed", F.filter(F.slice("fixed", 1, 1), lambda x: F.lit(False)), step).alias("all"))
+    out = rows.select("doc_id", "_t", F.explode("all").alias("s"))
+    valid = (F.col("s.label") != "ADDRESS") | is_valid_address(text, F.col("s.start"), F.col("s.end"))
+    return out.where(valid).select("doc_id", "s.start", "s.end", "s.label")
+
+
+#: Shapes of contacts: addresses of mail, telephone numbers with a country or trunk prefix.
+CONTACTS = {
+    "EMAIL": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?)+",
+    "PHONE_NUMBER": r"\+[0-9][0-9 ()-]{8,18}[0-9]",
+}
+
+
+def contacts(docs: DataFrame) -> DataFrame:
+    """doc_id, row, start, end, text and label of every contact in the texts (doc_id, text)."""
+    rows = docs.where(F.col("text").isNotNull()).select("doc_id", row_key(F.col("text")).alias("row"), "text")
+    kinds = F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("label"), F.lit(p).alias("pattern"))) for k, p in CONTACTS.items()]))).alias("k")
+    each = rows.select("doc_id", "row", "text", kinds).select("doc_id", "row", "k.label", F.regexp_extract_all("text", F.col("k.pattern"), F.lit(0)).alias("found"), F.split("text", F.col("k.pattern"), -1).alias("gaps"))
+    return each.select("doc_id", "row", "label", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s")).select("doc_id", "row", "s.start", "s.end", "s.text", "label")
