@@ -26,7 +26,7 @@ def docs_of(spark, texts):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_chunked_encoding_is_the_library(name):
     enc, rng = ChunkEncoder(public_tokenizers.path(name)), random.Random(5)
-    parts = ["a", "It's", " ", "  ", "\n", "é", "ß", "é", " ", "12", "!?", ",", "漢", "<|endoftext|>", "Σ", "İ", "word."]
+    parts = ["a", "It's", " ", "  ", "\n", "é", "ß", "é", " ", "12", "!?", ",", "漢", "<|endoftext|>", "Σ", "İ", "word.", "$$$", "%", "&&", "so*", "é,", "@", "_", "'s", "/"]
     for t in [x for x in TEXTS if x] + ["".join(rng.choice(parts) for _ in range(rng.randint(1, 12))) for _ in range(3000)]:
         assert enc.encode(t) == enc.ids(t), ascii(t)
 

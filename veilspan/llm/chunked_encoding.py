@@ -8,7 +8,7 @@ ids of its chunks:
   single line feed, that stands between two characters that aren't white space;
 * word kind (white space removed): at every space and line feed.
 
-A single mark after a letter (``word,``) is a token of its own in both kinds.
+Marks after letters (``word,`` or ``word$$$``) are pre-tokens of their own in both kinds.
 
 Everything else (added tokens, runs of white space next to a space, long chunks) goes to the library
 as it is.  Ids are carried as little-endian unsigned 32-bit integers.
@@ -29,6 +29,9 @@ _SAFE = re.compile(r"(?<=\S)(?= \S)")
 _LINES = re.compile(r"\S+(?:\n\S+)+")
 
 
+#: Marks that part from the letters before them (the apostrophe and the underscore don't in every kind).
+_MARKS = ".,;:!?$%&*#@+=~^|/"
+
 #: Below it every letter is its own composed form.
 _LATIN_END = "\u0250"
 
@@ -37,6 +40,10 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTE_LEVEL = {b: chr(b) for b in _PRINTED} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in _PRINTED)}
 
 
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class _Unsafe(Exception):
     pass
 
@@ -46,9 +53,18 @@ class _Ids(dict):
 
     def __init__(self, owner: ChunkEncoder, prefix: str):
         self.owner, self.prefix = owner, prefix
+        self.byte_level, self.tokenize = owner.byte_level, owner.model.tokenize
+        self.space = _BYTE_LEVEL[32] if prefix else ""
 
     def __missing__(self, chunk: str) -> bytes:
         owner = self.owner
+        # most words that weren't met before: one pre-token of letters, straight to the model
+        if chunk.isascii() and chunk.isalpha() and len(chunk) <= CACHE_CHARS:
+            tokens = self.tokenize(self.space + chunk if self.byte_level else chunk.lower())
+            if len(self) >= CACHE_ENTRIES:
+                self.clear()
+            ids = self[chunk] = _packed([x.id for x in tokens])
+            return ids
         if owner.byte_level:
             if not chunk or chunk[0].isspace() or chunk[-1].isspace():
                 raise _Unsafe
@@ -57,8 +73,9 @@ class _Ids(dict):
                 return self[first] + b"".join([owner.newline + owner.plain[x] for x in rest])
         elif not chunk:
             return b""
-        if chunk[-1] in ".,;:!?" and chunk[-2:-1].lower().isalpha() and chunk.isprintable():
-            ids = self[chunk[:-1]] + owner.plain[chunk[-1]]
+        if chunk[-1] in _MARKS and (word := chunk.rstrip(_MARKS)).isalpha() and chunk.isprintable() and word.lower().isalpha():
+            marks = chunk[len(word) :]
+            ids = self[word] + (owner.plain[marks] if len(marks) <= CACHE_CHARS else owner.ids(marks))
         elif chunk.isalpha() and max(chunk) < _LATIN_END:
             ids = owner.word(self.prefix, chunk)
         else:
@@ -101,7 +118,7 @@ class ChunkEncoder:
             letters = letters.encode().decode("latin-1").translate(_BYTE_LEVEL)
         if prefix:
             letters = _BYTE_LEVEL[32] + letters
-        return struct.pack(f"<{len(t := self.model.tokenize(letters))}I", *[x.id for x in t])
+        return _packed([x.id for x in self.model.tokenize(letters)])
 
     def encode(self, text: str) -> bytes:
         """Ids of the whole text, as ``ids(text)`` gives them."""
