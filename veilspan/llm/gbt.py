@@ -112,5 +112,8 @@ def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             blocks[-1][0] += w
             blocks[-1][1] += t_
             blocks[-1][2] += s_
-    # the ends are drawn in by half a row, so no score is held certain
-    return np.array([b[2] / b[0] for b in blocks]), np.array([(b[1] + 0.5 * (b[1] == 0) - 0.5 * (b[1] == b[0])) / b[0] for b in blocks])
+    # the ends are drawn in by half a row, so no score is held certain, but not beyond their neighbours
+    p = np.array([(b[1] + 0.5 * (b[1] == 0) - 0.5 * (b[1] == b[0])) / b[0] for b in blocks])
+    if len(p) > 1:
+        p[0], p[-1] = min(p[0], p[1]), max(p[-1], p[-2])
+    return np.array([b[2] / b[0] for b in blocks]), p
