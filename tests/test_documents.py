@@ -109,3 +109,33 @@ def test_stream_goes_on_with_the_registry(spark, tmp_path):
 def test_fragments(spark):
     df = spark.createDataFrame([(" 0ab \n \n\n1cdefg\nh",), ("",), (None,), (" \n\n ",)], "t string")
     assert [r.f for r in df.select(files.fragments(F.col("t"), 4).alias("f")).collect()] == [["0ab", "1cde", "fg\nh"], [], [], []]
+
+
+def test_files_as_texts(spark):
+    w = 'xmlns:w="w"'
+    docx = packed({
+        "word/document.xml": f'<w:document {w}><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Глава</w:t></w:r></w:p><w:sdt><w:sdtContent><w:p><w:r><w:t>- пункт</w:t></w:r></w:p></w:sdtContent></w:sdt><w:tbl><w:tr><w:tc><w:p><w:r><w:t>a</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>b</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p/><w:p><w:r><w:t>АКТ сдачи</w:t></w:r></w:p><w:p><w:r><w:t>Текст</w:t></w:r></w:p></w:body></w:document>',
+        "word/header1.xml": f"<w:hdr {w}><w:p><w:r><w:t>верх</w:t></w:r></w:p></w:hdr>", "word/footnotes.xml": f"<w:footnotes {w}><w:footnote><w:p><w:r><w:t>сноска</w:t></w:r></w:p></w:footnote></w:footnotes>",
+    })
+    deck = packed({f"ppt/slides/slide{n}.xml": f'<s xmlns:a="a"><a:p><a:t>- x{n}</a:t></a:p><a:p><a:t>Тема {n}</a:t></a:p></s>' for n in (1, 10, 2)} | {"ppt/notesSlides/notesSlide2.xml": '<s xmlns:a="a"><a:p><a:t>2</a:t></a:p><a:p><a:t>сказать</a:t></a:p></s>'})
+    b = office.blocks(spark.createDataFrame([("d.docx", "docx", bytearray(docx)), ("p.pptx", "pptx", bytearray(deck))], "path string, suffix string, content binary")).cache()
+    assert {(r.scope, r.kind, r.text) for r in b.where("kind IN ('margin', 'note') AND path = 'd.docx'").collect()} == {("header1", "margin", "верх"), ("footnotes", "note", "сноска")}
+    assert exports.word_markdown(b.where("path = 'd.docx'")).first().markdown == "## Глава\n\n- - пункт\n| a | b |\n| --- | --- |\n\n## АКТ сдачи\n\nТекст\n"
+    assert exports.word_text(b.where("path = 'd.docx'")).first().text == "Глава\n- пункт\na | b\n\nАКТ сдачи\nТекст\n"
+    parts = exports.slides(b)
+    assert [(r.number, r.title, r.notes) for r in parts.orderBy("number").collect()] == [(1, "Тема 1", []), (2, "Тема 2", ["сказать"]), (10, "Тема 10", [])]
+    text = exports.slides_text(parts).first().text
+    assert text.startswith("=== Слайд 1: Тема 1 ===\n- x1\nТема 1\n\n=== Слайд 2: Тема 2 ===\n- x2\nТема 2\n[Заметки:]\n  * сказать\n\n=== Слайд 10")
+    assert exports.slides_markdown(parts).first().markdown.startswith("## Слайд 1: Тема 1\n\n- x1\nТема 1\n\n---\n")
+
+
+def test_marked_up_xml(spark):
+    xml = "<d><head><title>Имя</title></head><text><p><s><w>Раз</w><w>,</w><w>«</w><w>два</w><w>»</w><w>-</w><w>три</w></s><s><w>Ещё</w></s></p><p><s/></p><p><s><w>Конец</w><w>.</w></s></p></text></d>"
+    df = spark.createDataFrame([(1, bytearray(xml.encode())), (2, bytearray(b"<no")), (3, None)], "id long, content binary")
+    assert {r.id: r.text for r in files.marked_up_text(df).collect()} == {1: "Имя\nРаз, «два»-три Ещё\nКонец.", 2: None, 3: None}
+
+
+def test_json_lines_with_faults(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n[2]\nbad\n{"a": 3, "b": 4}\n')
+    rows = files.numbered_json_lines(spark, str(tmp_path), "a long").orderBy("place").collect()
+    assert [(r.parsed and r.parsed.a, r.wrong) for r in rows if not r.wrong] == [(1, False), (3, False)] and sum(r.wrong for r in rows) == 2

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilspan.functions import regions as R
 from veilspan.operators import gold as G
 from veilspan.operators import reconcile as X
+from veilspan.operators import refinement as N
 from veilspan.operators import review as V
 from veilspan.operators import synthetic as S
 from veilspan.sources import exports, files
@@ -49,6 +50,11 @@ def escaped_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "orders").select("o_orderkey", exports.escape_cell(F.concat(F.lit(" |\n"), F.col("o_orderstatus"), F.lit("  | x "))).alias("cell"))
 
 
+def document_contacts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every address of mail and telephone number in all documents."""
+    return N.contacts(_table(spark, sf_dir, "documents")).select("doc_id", "start", "end", "text", "label")
+
+
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = _table(spark, sf_dir, "events")
     status = F.when(F.col("event_id") % 5 == 0, "accepted").when(F.col("event_id") % 5 == 1, "rejected")
@@ -109,7 +115,7 @@ def reconciled_addresses(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        text_gate, region_boxes, document_fragments, document_chunks, document_markdown, escaped_cells, review_findings, review_summary, review_by_type, gold_tasks, gold_left_out, synthetic_ids,
+        text_gate, region_boxes, document_fragments, document_chunks, document_markdown, document_contacts, escaped_cells, review_findings, review_summary, review_by_type, gold_tasks, gold_left_out, synthetic_ids,
         synthetic_coverage, reconciled_addresses,
     )
 }
@@ -123,7 +129,26 @@ _INSURANCE = " + ".join(f"{9 - i} * {_D.format(i + 1)}" for i in range(9))
 _SPLIT = "CASE WHEN o_orderkey % 200 < 140 THEN 'train' WHEN o_orderkey % 200 < 170 THEN 'dev' ELSE 'test' END"
 _CLAMP = "round(least(greatest({}, 0.0), 1.0), 9)"
 
+_ITEM = r"(?:[0-9]+(?:\.[0-9]+)*\.?|[а-яёa-z]\)|-|•|\*)\s+"
+
 ORACLE = {
+    "document_fragments": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\n\s*\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents),
+f AS (SELECT doc_id, flatten(list_transform(p, lambda x: list_transform(range(0, CAST(ceil(length(x) / 500) AS BIGINT)), lambda i: x[i * 500 + 1:(i + 1) * 500]))) AS f FROM p)
+SELECT doc_id, CAST(len(f) AS BIGINT) AS n, sha256(array_to_string(f, '|')) AS digest FROM f""",
+    "document_chunks": """WITH RECURSIVE c(doc_id, t, start, stop) AS (SELECT doc_id, text, CAST(0 AS BIGINT), CAST(0 AS BIGINT) FROM documents WHERE text IS NOT NULL
+UNION ALL SELECT doc_id, t, stop, CASE WHEN stop + 30000 >= length(t) THEN length(t) WHEN strpos(reverse(t[stop + 2:stop + 30000]), chr(10)) > 0 THEN stop + 30000 - strpos(reverse(t[stop + 2:stop + 30000]), chr(10))
+  WHEN strpos(reverse(t[stop + 2:stop + 30000]), ' ') > 0 THEN stop + 30000 - strpos(reverse(t[stop + 2:stop + 30000]), ' ') ELSE stop + 30000 END FROM c WHERE stop < length(t))
+SELECT doc_id, start, sha256(t[start + 1:stop]) AS digest FROM c WHERE stop > start UNION ALL SELECT doc_id, CAST(0 AS BIGINT), sha256('') FROM documents WHERE text = ''""",
+    "document_markdown": rf"""WITH b AS (SELECT doc_id, coalesce(text, '') AS text, list_filter(regexp_split_to_array(regexp_replace(coalesce(text, ''), '^\s+|\s+$', '', 'g'), '\n\s*\n+'), lambda x: regexp_matches(x, '\S')) AS b FROM documents),
+l AS (SELECT doc_id, text, list_transform(b, lambda x: struct_pack(x := x, l := list_filter(list_transform(regexp_split_to_array(x, '\r\n|[\n\r]'), lambda y: trim(y)), lambda y: y <> ''))) AS b FROM b),
+m AS (SELECT doc_id, text, list_transform(b, lambda x: CASE WHEN contains(x.x, '|') THEN array_to_string(x.l, chr(10)) || chr(10) WHEN regexp_matches(array_to_string(x.l, ' '), '^(?:{exports.TITLES})(?:$|[^\p{{L}}\p{{N}}_])') THEN '## ' || array_to_string(x.l, ' ') || chr(10)
+  WHEN regexp_matches(array_to_string(x.l, ' '), '^{_ITEM}') THEN '- ' || array_to_string(x.l, ' ') ELSE array_to_string(x.l, ' ') || chr(10) END) AS m FROM l)
+SELECT doc_id, sha256(CASE WHEN text = '' THEN '' ELSE regexp_replace(array_to_string(m, chr(10)), '^\s+|\s+$', '', 'g') || chr(10) END) AS digest FROM m""",
+    "document_contacts": f"""WITH k(label, p) AS (VALUES {', '.join("('" + k + "', '" + p + "')" for k, p in N.CONTACTS.items())}),
+m AS (SELECT doc_id, label, regexp_extract_all(text, p) AS f, regexp_split_to_array(text, p) AS g FROM documents, k WHERE text IS NOT NULL),
+s AS (SELECT doc_id, label, f, g, unnest(range(1, len(f) + 1)) AS i FROM m WHERE len(f) > 0)
+SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(f[1:i - 1], lambda x: length(x))), 0) AS INT) AS start,
+CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(f[1:i], lambda x: length(x))) AS INT) AS "end", f[i] AS text, label FROM s""",
     "text_gate": r"""WITH a AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS s,
 list_filter(list_transform(regexp_split_to_array(coalesce(text, ''), '\r\n|[\n\r]'), lambda x: trim(regexp_replace(x, '\s+', ' ', 'g'))), lambda x: x <> '') AS l FROM documents),
 b AS (SELECT *, list_filter(l, lambda x: NOT regexp_full_match(x, '(?i)scanned (?:with|by) \S.*')) AS i, length(regexp_replace(s, '[^\p{L}\p{N}]', '', 'g')) AS k FROM a)

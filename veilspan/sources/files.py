@@ -79,3 +79,48 @@ def chunks(docs: DataFrame, longest: int = 30_000, id_col: str = "doc_id", text_
 def xml_text(content: Column, tag: str = "p") -> Column:
     """The text of every ``tag`` element, by lines; null if the XML is malformed."""
     return F.array_join(F.filter(F.transform(F.xpath(content, F.lit(f"//{tag}//text()")), lambda x: F.trim(x)), lambda t: t != ""), "\n")
+
+
+# Marks that no space stands before or behind when words are put together.
+NO_SPACE_BEFORE, NO_SPACE_AFTER = set(".,;:!?%)]}»”"), set("([{«“")
+
+
+def join_words(words: list[str]) -> str:
+    """Words of a marked-up sentence as plain text: a space between two unless a mark or dash forbids it."""
+    out = ""
+    for word in filter(None, words):
+        tight = not out or word[0] in NO_SPACE_BEFORE or out[-1] in NO_SPACE_AFTER or word[0] in "-–—" or out[-1] in "-–—"
+        out += word if tight else " " + word
+    return out
+
+
+def marked_up_text(contents: DataFrame, content_col: str = "content") -> DataFrame:
+    """All columns of ``contents`` and text: the title, and the paragraphs of the sentences of the words of an
+    XML document (head/title, p, s, w), a line each; null if it is no XML."""
+    from xml.etree import ElementTree as ET
+
+    def plain(content: bytes | None) -> str | None:
+        try:
+            root = ET.fromstring(bytes(content))
+        except (ET.ParseError, TypeError):
+            return None
+        title = root.find("./head/title")
+        lines = ["".join(title.itertext()).strip()] if title is not None else []
+        for p in root.findall(".//p"):
+            lines.append(" ".join(filter(None, (join_words(["".join(w.itertext()) for w in s.findall(".//w")]) for s in p.findall(".//s")))))
+        return "\n".join(filter(None, lines))
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(text=[plain(c) for c in frame[content_col]])
+
+    return contents.mapInPandas(run, StructType([*[f for f in contents.schema.fields if f.name != "text"], StructType().add("text", "string")[0]]))
+
+
+def numbered_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """path, place (of the line in its file, by bytes), value and wrong of every line of JSON files that isn't
+    blank; a line that is no object of the schema has a null value and is wrong."""
+    lines = spark.read.option("wholetext", "false").text(path).withColumns({"path": F.col("_metadata.file_path"), "place": F.monotonically_increasing_id()})
+    value = F.from_json("value", schema, {"mode": "PERMISSIVE"})
+    lines = lines.where(F.trim("value") != "")
+    return lines.select("path", "place", value.alias("parsed"), (~F.col("value").rlike(r"^\s*\{.*\}\s*$") | F.get_json_object("value", "$").isNull()).alias("wrong"))

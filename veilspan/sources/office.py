@@ -59,15 +59,38 @@ def _text(node: ET.Element, tag: str) -> str:
     return "".join(n.text or "" for n in node.iter() if _local(n) == tag)
 
 
+def _blocks(parent: ET.Element) -> Iterator[ET.Element]:
+    """Paragraphs and tables of a part, those within content controls too."""
+    for node in parent:
+        if _local(node) in ("p", "tbl"):
+            yield node
+        elif _local(node) in ("sdt", "sdtContent", "footnote", "endnote"):
+            yield from _blocks(node)
+
+
+def _paragraph_kind(paragraph: ET.Element) -> str:
+    """``paragraph``, or ``heading`` and its level by the paragraph's style."""
+    style = next((v for n in paragraph.iter() if _local(n) == "pStyle" for k, v in n.attrib.items() if k.rpartition("}")[2] == "val"), "")
+    level = re.search(r"(?i)(?:heading|заголовок)\s*([1-6])", style)
+    return f"heading {level[1]}" if level else "paragraph"
+
+
 def _docx(package: zipfile.ZipFile) -> Iterator[tuple]:
     body = next(n for n in ET.fromstring(package.read("word/document.xml")) if _local(n) == "body")
-    for i, block in enumerate(n for n in body if _local(n) in ("p", "tbl")):
+    for i, block in enumerate(_blocks(body)):
         if _local(block) == "p":
-            yield "body", i, 0, "paragraph", _text(block, "t")
+            yield "body", i, 0, _paragraph_kind(block), _text(block, "t")
         else:
             for r, row in enumerate(n for n in block if _local(n) == "tr"):
                 for c, cell in enumerate(n for n in row if _local(n) == "tc"):
                     yield f"table {i}", r, c, "cell", "\n".join(_text(p, "t") for p in cell.iter() if _local(p) == "p")
+    for name in sorted(package.namelist()):
+        part = re.fullmatch(r"word/((?:header|footer)\d*|footnotes|endnotes)\.xml", name)
+        if part:
+            for i, block in enumerate(_blocks(ET.fromstring(package.read(name)))):
+                text = _text(block, "t")
+                if text:
+                    yield part[1], i, 0, "note" if part[1].endswith("notes") else "margin", text
 
 
 def _column(ref: str) -> int:
