@@ -9,6 +9,7 @@ from veilspan.functions import checksums as C
 from veilspan.operators import detection as D
 from veilspan.operators import evaluation as E
 from veilspan.operators import masking as M
+from veilspan.plans.detection_sql import DETECT_SPANS, MASK_DOCUMENTS
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +96,8 @@ p AS (SELECT doc_id, start, CASE WHEN start % 7 = 2 THEN "end" + 1 ELSE "end" EN
 _LUHN = " + ".join(f"(CASE WHEN {_D.format(i)} * {2 if i % 2 else 1} > 9 THEN {_D.format(i)} * 2 - 9 ELSE {_D.format(i)} * {2 if i % 2 else 1} END)" for i in range(1, 17))
 
 ORACLE = {
+    "detect_spans": DETECT_SPANS,
+    "mask_documents": MASK_DOCUMENTS,
     "checksum_inn": f"SELECT o_orderkey, {_sum([2, 4, 10, 3, 5, 9, 4, 6, 8])} % 11 % 10 = {_D.format(10)} AS ok FROM ({_IDS.format('body || CAST(o_orderkey % 10 AS VARCHAR)')})",
     "checksum_snils": f"SELECT o_orderkey, {_sum(list(range(9, 0, -1)))} % 101 % 100 = CAST(substr(v, 10, 2) AS INT) AS ok FROM ({_IDS.format('body || lpad(CAST(o_orderkey % 97 AS VARCHAR), 2, chr(48))')})",
     "checksum_ogrn": f"SELECT o_orderkey, CAST(substr(v, 1, 12) AS BIGINT) % 11 % 10 = {_D.format(13)} AS ok FROM ({_IDS.format(chr(39) + '102' + chr(39) + ' || body || CAST(o_orderkey % 10 AS VARCHAR)')})",
