@@ -40,6 +40,10 @@ def to_original(start: Column, end: Column, offsets: Column, length: Column) ->
 SQUEEZED = f"[ {SPACES}][ {SPACES}{DROPPED}]+|[{DROPPED}]+"
 
 
+#: What ``normalize`` changes: a text without it is its own normal form.
+CHANGED = f"[{SPACES}{DASHES}{DOUBLE_QUOTES}{SINGLE_QUOTES}{DROPPED}]| {{2}}"
+
+
 def unsqueezed(place: Column, runs: Column) -> Column:
     """A place in ``normalize(text)`` as a place in ``text``, given the spans of ``SQUEEZED`` in it: as
     ``offset_map`` has it, without an array of all characters."""

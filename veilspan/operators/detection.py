@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilspan.functions import checksums as C
-from veilspan.functions.text import SPAN, SQUEEZED, normalize, placed, unsqueezed
+from veilspan.functions.text import CHANGED, SPAN, SQUEEZED, normalize, placed, unsqueezed
 
 #: Fixed value: of a candidate's confidence in the normalised text.
 NORMALIZED = 0.98
@@ -33,6 +33,12 @@ class Rule:
     weight: float = 0.40
     needs_positive: bool = False
     tail: int = 0  # of a match, only its last characters are the span
+    gate: str | None = None  # what every match holds: a text without it isn't searched
+
+
+#: Six digits with single separators, which all numbers of documents hold; and what the others hold.
+_NUMBER = r"(?U)\d(?:[-\s]?\d){5}"
+_GATES = {"court_case_number": r"(?U)\d/\d{2}", "ip_address": r"(?U)\d\.\d", "iban_international": r"(?U)[A-Z]{2}\d{2}[A-Z0-9]", "swift_bic": r"[A-Z]{6}"}
 
 
 # Words near passport data.
@@ -66,6 +72,9 @@ RULES: tuple[Rule, ...] = (
 )
 
 
+RULES = tuple(replace(r, gate=_GATES.get(r.name, _NUMBER)) for r in RULES)
+
+
 def _nearest(left: Column, right: Column, word: Column) -> Column:
     """Characters between the candidate and the word's nearest place in either window; null if none."""
     before = F.when(F.contains(left, word), F.char_length(F.call_function("substring_index", left, word, F.lit(-1))))
@@ -115,12 +124,17 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")).where(F.col("_text").isNotNull()).withColumn("row", row_key(F.col("_text")))
     given = None if external is None else external_candidates(rows, external)
     # the original and its squeezed runs go along with a normalised text
-    rows = rows.select("doc_id", "row", "_text", normalize(F.col("_text")).alias("_norm"), F.regexp_extract_all("_text", F.lit(SQUEEZED), F.lit(0)).alias("found"), F.split("_text", SQUEEZED, -1).alias("gaps"))
+    rows = rows.withColumn("_changed", F.col("_text").rlike(CHANGED))
+    squeezed = (F.regexp_extract_all("_text", F.lit(SQUEEZED), F.lit(0)), F.split("_text", SQUEEZED, -1))
+    rows = rows.select("doc_id", "row", "_text", F.when(F.col("_changed"), normalize(F.col("_text"))).alias("_norm"), *[F.when(F.col("_changed"), c).alias(k) for k, c in zip(("found", "gaps"), squeezed, strict=True)])
     raw = F.struct(F.col("_text").alias("text"), F.lit(None).cast("string").alias("origin"), F.lit(None).cast(f"array<{SPAN}>").alias("runs"))
     norm = F.struct(F.col("_norm").alias("text"), F.col("_text").alias("origin"), placed(F.col("found"), F.col("gaps")).alias("runs"))
     rows = rows.select("doc_id", "row", F.explode(F.array_compact(F.array(raw, F.when(F.col("_norm") != F.col("_text"), norm)))).alias("v"))
     rows = rows.select("doc_id", "row", F.col("v.text").alias("_text"), F.col("v.origin").alias("origin"), F.col("v.runs").alias("runs"))
-    occurs = F.array(*[F.when(F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"), F.lit(r.far).alias("far"))) for i, r in enumerate(rules)])
+    gates = {g: f"_gate{k}" for k, g in enumerate(dict.fromkeys(r.gate for r in rules if r.gate))}
+    rows = rows.withColumns({name: F.col("_text").rlike(g) for g, name in gates.items()})
+    open_ = lambda r: F.col(gates[r.gate]) if r.gate else F.lit(True)
+    occurs = F.array(*[F.when(open_(r) & F.col("_text").rlike(r.pattern), F.struct(F.lit(i).alias("rule"), F.lit(r.pattern).alias("pattern"), F.lit(r.tail).alias("tail"), F.lit(r.far).alias("far"))) for i, r in enumerate(rules)])
     by_rule = rows.select("doc_id", "row", "_text", "origin", "runs", F.explode(F.array_compact(occurs)).alias("o"))
     cut = by_rule.select(
         "doc_id", "row", "origin", "runs", "o.rule", "o.tail", "o.far", F.lower("_text").alias("lower"), F.regexp_extract_all("_text", F.col("o.pattern"), F.lit(0)).alias("found"), F.split("_text", F.col("o.pattern"), -1).alias("gaps"),
