@@ -81,6 +81,14 @@ def test_reconcile_is_the_plain_search(spark):
     assert got == {1: ("Иван [INN_1], 77070838931; тел [PHONE_NUMBER_1] и [EMAIL_1], [EMAIL_2]", 4), 2: ("[INN_7707083893]", 0), 3: ("", 0), 4: ("", 0)}
 
 
+def test_reconciling_rows_of_one_id(spark):
+    entities = spark.createDataFrame([("EMAIL", f"user{i}@mail.example.com", f"[EMAIL_{i}]", i) for i in range(1, 40)], "label string, original string, token string, number int")
+    assert X.values(entities).groupBy("word").count().where("count > 1").isEmpty()  # not the domain, which they share
+    rows = [(1, "to user3@mail.example.com"), (1, "to USER4@mail.example.com, user3@mail.example.com"), (None, "user5@mail.example.com"), (None, "user5@mail.example.com"), (2, None)]
+    got = sorted(((r.doc_id, r.text, r.n) for r in X.reconcile(spark.createDataFrame(rows, "doc_id long, text string"), entities).collect()), key=repr)
+    assert got == sorted([(1, "to [EMAIL_3]", 1), (1, "to [EMAIL_4], [EMAIL_3]", 2), (None, "[EMAIL_5]", 1), (None, "[EMAIL_5]", 1), (2, "", 0)], key=repr)
+
+
 def test_review(spark):
     raw = spark.createDataFrame([("d1", "p1", "inn", "[INN_1]", 0.9, "odd", "secret"), ("d1", "p2", None, "[X_1]", 0.2, "accepted", "secret")], "document_ref string, location string, entity_type string, placeholder string, confidence double, status string, original string")
     queue = V.findings(raw)
