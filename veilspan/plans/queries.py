@@ -10,6 +10,7 @@ from veilspan.operators import detection as D
 from veilspan.operators import evaluation as E
 from veilspan.operators import masking as M
 from veilspan.plans.detection_sql import DETECT_SPANS, MASK_DOCUMENTS
+from veilspan.sources.staging import staged
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,7 +28,8 @@ def detect_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def mask_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir)
-    found = D.resolve(D.candidates(docs))
+    # the registry and the masking both read the spans: detection runs once
+    found = staged(D.resolve(D.candidates(docs)), "spans")
     masked = M.mask(docs, found, M.registry(found))
     return masked.select("doc_id", F.sha2("masked", 256).alias("masked_sha256"), "n_replaced")
 

@@ -32,8 +32,10 @@ def markdown(text: Column) -> Column:
 
 
 def cell_rows(blocks: DataFrame) -> DataFrame:
-    """path, scope, row and cells (by column, gaps empty) of the rows of tables that aren't blank."""
-    rows = blocks.where("kind = 'cell'").groupBy("path", "scope", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), F.coalesce("text", F.lit(""))))).alias("m"))
+    """path, scope, row and cells (by column, gaps empty) of the rows of tables that aren't blank; of a repeated
+    cell the largest text counts."""
+    cells = blocks.where("kind = 'cell'").groupBy("path", "scope", "row", "col").agg(F.max("text").alias("text"))
+    rows = cells.groupBy("path", "scope", "row").agg(F.map_from_entries(F.collect_list(F.struct(F.col("col").cast("int"), F.coalesce("text", F.lit(""))))).alias("m"))
     cells = F.transform(F.sequence(F.lit(0), F.array_max(F.map_keys("m"))), lambda i: F.coalesce(F.try_element_at("m", i), F.lit("")))
     return rows.select("path", "scope", "row", cells.alias("cells")).where(F.exists("cells", lambda c: F.trim(c) != ""))
 

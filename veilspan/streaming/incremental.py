@@ -11,15 +11,14 @@ from pyspark.sql.types import StructType
 
 from veilspan.operators.detection import candidates, resolve
 from veilspan.operators.masking import mask, registry
+from veilspan.sources.staging import staged
 
 REGISTRY = "label string, key string, token string, number long, original string, batch long"
 
 
 def known_entities(spark: SparkSession, path: str, before: int) -> DataFrame:
     """The registry's rows of the batches before this one: a batch that runs again doesn't see its own."""
-    files = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not files.getFileSystem(spark._jsc.hadoopConfiguration()).exists(files):
-        return spark.createDataFrame([], REGISTRY)
+    spark.createDataFrame([], REGISTRY).write.mode("append").parquet(path)  # so that there is a folder to read
     return spark.read.schema(REGISTRY).parquet(path).where(F.col("batch") < before)
 
 
@@ -31,7 +30,7 @@ def masker(folder: str, detect: Callable[[DataFrame], DataFrame]) -> Callable[[D
         spark = docs.sparkSession
         known = known_entities(spark, f"{folder}/registry", number)
         docs = docs.select("doc_id", "text")
-        found = detect(docs)
+        found = staged(detect(docs), "spans")
         entities = registry(found, known.drop("batch"))
         added = entities.join(known.select("token"), "token", "left_anti").withColumn("batch", F.lit(number).cast("long"))
         added.select("label", "key", "token", "number", "original", "batch").write.mode("overwrite").parquet(f"{folder}/registry/part={number}")
