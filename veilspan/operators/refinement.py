@@ -175,3 +175,88 @@ def contacts(docs: DataFrame) -> DataFrame:
     kinds = F.explode(F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.struct(F.lit(k).alias("label"), F.lit(p).alias("pattern"))) for k, p in CONTACTS.items()]))).alias("k")
     each = rows.select("doc_id", "row", "text", kinds).select("doc_id", "row", "k.label", F.regexp_extract_all("text", F.col("k.pattern"), F.lit(0)).alias("found"), F.split("text", F.col("k.pattern"), -1).alias("gaps"))
     return each.select("doc_id", "row", "label", F.explode(placed(F.col("found"), F.col("gaps"))).alias("s")).select("doc_id", "row", "s.start", "s.end", "s.text", "label")
+
+
+# Shapes of our own: legal forms, public bodies, acts, products, places.
+LEGAL_FORMS = r"(?:ООО|АО|ПАО|ЗАО|ОАО|НАО|НКО|АНО|ИП|ГУП|МУП|ФГУП|ФГБУ|ГБУ|МБУ|Общество\s+с\s+ограниченной\s+ответственностью|(?:Публичное\s+|Закрытое\s+|Открытое\s+)?[Аа]кционерное\s+общество)"
+_PUBLIC_BODY = r"(?iU)\b(?:министерств|федеральн\w+\s+(?:служб|агентств)|правительств|администраци|прокуратур|полици|департамент|комитет|инспекци|казначейств|судебн\w+\s+пристав)\w*|\b(?:верховн|конституционн|арбитражн|районн|городск|мирово)\w*\s+суд\w*|\bмвд\b|\bфнс\b|\bфссп\b|\bгибдд\b"
+_ACT = r"(?iU)\b(?:федеральн\w+\s+)?(?:закон|кодекс|постановлени|указ|распоряжени|регламент|конвенци|директив|гост|снип|санпин)\w*"
+_PAPER = r"(?iU)\b(?:договор|контракт|обращени|заявлени|накладн|акт|приказ)\w*|\bсч[её]т\w*|\bплат[её]жн\w+\s+поручени\w*"
+_PRODUCT = r"(?iU)\b(?:[A-ZА-ЯЁ]{1,5}[- ]?\d{2,}[A-ZА-ЯЁ\d-]*|\d+(?:[.,]\d+)?\s?(?:мм|см|м|кг|г|л|вт|квт|в|а|гб|мб|шт)\b)"
+_CAPACITY = r"(?iU)^(?:(?:гражданин|гражданка|господин|госпожа|г-н|г-жа|директор|генеральный\s+директор|президент|бухгалтер|главный\s+бухгалтер|представитель|истец|ответчик|заявитель|менеджер|адвокат|нотариус|судья|прокурор)\w*\s+)+"
+
+
+def has_legal_form_before(text: Column, start: Column, n: int = 50) -> Column:
+    """Whether a legal form, with at most a few words or marks behind it, ends in the ``n`` characters before."""
+    return F.coalesce(before(text, start, n).rlike(rf"(?U)\b{LEGAL_FORMS}(?:[\s,:;«\"-]*\z|[\s,:;-]+[\w\s]{{0,50}}\z)"), F.lit(False))
+
+
+def is_public_body(surface: Column) -> Column:
+    """A public authority without a private legal form in its name: it isn't masked."""
+    return F.coalesce(surface.rlike(_PUBLIC_BODY) & ~surface.rlike(rf"(?U)\b{LEGAL_FORMS}\b"), F.lit(False))
+
+
+def is_unfilled(surface: Column) -> Column:
+    """A template's gap: dots or underscores in place of a name."""
+    return F.coalesce(surface.rlike(r"…|\.\.\.|_{2,}"), F.lit(False))
+
+
+def is_product(surface: Column) -> Column:
+    """A product's code or a measure in place of an organisation's name, without a legal form."""
+    return F.coalesce(surface.rlike(_PRODUCT) & ~surface.rlike(rf"(?U)\b{LEGAL_FORMS}\b") & ~surface.rlike("[«\"]"), F.lit(False))
+
+
+def is_act_date(text: Column, start: Column) -> Column:
+    """Whether a date is one of a cited act: behind ``от``, with an act named in its sentence closer than a
+    contract, bill or order; or behind ``по состоянию на``."""
+    left = before(text, start, 320)
+    own = F.element_at(F.split(left, r"[;\n]|(?<=[а-яё])\.\s"), -1)
+    acts, papers = (F.char_length(F.element_at(F.split(own, p, -1), -1)) for p in (_ACT, _PAPER))
+    cited = own.rlike(_ACT) & (~own.rlike(_PAPER) | (acts < papers)) & left.rlike(r"(?iU)\bот\s*\z")
+    return F.coalesce(cited | left.rlike(r"(?iU)по\s+состоянию\s+на\s*\z"), F.lit(False))
+
+
+def is_place_alone(surface: Column) -> Column:
+    """A town, region or country without a street, house or index: no address."""
+    place = surface.rlike(r"(?iU)\b(?:г\.|город|област|край|республик|район|страна|россия|рф)\w*") | surface.rlike(r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*\z")
+    return F.coalesce(place & ~sufficient_address(surface) & ~surface.rlike(r"\d{6}"), F.lit(False))
+
+
+def person_start(text: Column, start: Column, end: Column) -> Column:
+    """The start of a person's name without the capacity or form of address in front of it; the span's own start
+    if nothing else would be left."""
+    n = F.char_length(F.regexp_extract(F.substr(text, start + 1, end - start), _CAPACITY, 0))
+    return F.coalesce(F.when(start + n < end, start + n).otherwise(start), start)
+
+
+def organisation_core(text: Column, start: Column, end: Column) -> Column:
+    """(start, end) of an organisation's own name: without the legal form in front and the quotes around it,
+    and without what follows a bracket of another name; the form stays readable in the text."""
+    surface = F.substr(text, start + 1, end - start)
+    lead = F.char_length(F.regexp_extract(surface, rf"(?U)^(?:{LEGAL_FORMS}\s+)?[«\"“\s]*", 0))
+    rest = F.substr(surface, lead + 1)
+    core = F.regexp_replace(F.regexp_replace(rest, r"(?s)\s*\((?:далее|именуем).*|[»\"”]\s*\(.*", ""), r"[»\"”\s.,;:]+\z", "")
+    good = F.char_length(core) >= 2
+    return F.struct(F.when(good, start + lead).otherwise(start).cast("int").alias("start"), F.when(good, start + lead + F.char_length(core)).otherwise(end).cast("int").alias("end"))
+
+
+def alias_cores(text: Column, start: Column, end: Column) -> Column:
+    """The spans of an organisation and its alias in brackets (``Name» (ООО «Alias``), as an array of two; of
+    any other span an array of its core."""
+    surface = F.substr(text, start + 1, end - start)
+    alias = F.regexp_extract(surface, rf"(?U)[»\"”]\s*\(\s*(?:{LEGAL_FORMS}\s+)?[«\"“]([^«»\"“”\n]{{2,}})", 1)
+    at = F.call_function("locate", alias, surface, F.lit(1)) - 1
+    second = F.struct((start + at).cast("int").alias("start"), (start + at + F.char_length(alias)).cast("int").alias("end"))
+    return F.when(alias != "", F.array(organisation_core(text, start, end), second)).otherwise(F.array(organisation_core(text, start, end)))
+
+
+def masked_filename(name: Column) -> Column:
+    """A file's or sheet's name with account numbers, bank codes and dates as marks."""
+    out = F.regexp_replace(F.coalesce(name, F.lit("")), r"(?<!\d)\d{20}(?!\d)", "[RU_ACCOUNT]")
+    out = F.regexp_replace(out, r"(?<!\d)04\d{7}(?!\d)", "[BIK]")
+    return F.regexp_replace(out, r"(?<!\d)\d{2}[._-]\d{2}[._-](?:19|20)\d{2}(?!\d)", "[DATE]")
+
+
+def masked_sheet_title(title: Column) -> Column:
+    """``masked_filename`` of a sheet's title, cut at the 31 characters that a title may have."""
+    return F.substring(masked_filename(title), 1, 31)

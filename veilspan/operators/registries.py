@@ -185,3 +185,36 @@ def restore_forms(masked: DataFrame, entities: DataFrame, masked_col: str = "mas
     pairs = F.zip_with("gaps", "found", lambda g, t: F.struct(g.alias("gap"), t.alias("token")))
     text = F.aggregate(pairs, F.struct(F.lit("").alias("masked"), F.lit("").alias("out")), step)["out"]
     return both.select("doc_id", F.when(F.size("found") > 0, text).otherwise(F.col("_t")).alias("text"))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """token, original and side (``first`` or ``second``) of the entries that only one of two registries has:
+    none if a document's registry is the one it is bound to."""
+    x, y = (d.select("token", "original") for d in (a, b))
+    return x.exceptAll(y).withColumn("side", F.lit("first")).unionByName(y.exceptAll(x).withColumn("side", F.lit("second")))
+
+
+def name_aliases(label: Column, surface: Column) -> Column:
+    """The keys that a name may be met under: the entity's key, and of a person (surname, two names or two
+    initials, in either order) the surname with both initials.  One initial never links."""
+    key = entity_key(label, surface)
+    full = r"^(\p{Lu}[\p{Ll}-]+)\s+(\p{Lu})[\p{Ll}-]+\s+(\p{Lu})[\p{Ll}-]+$"
+    behind, ahead = r"^(\p{Lu}[\p{Ll}-]+)\s+(\p{Lu})\.\s?(\p{Lu})\.$", r"^(\p{Lu})\.\s?(\p{Lu})\.\s?(\p{Lu}[\p{Ll}-]+)$"
+    text = F.trim(surface)
+    sign = lambda p, s, a, b: F.lower(F.concat(F.lit("~"), F.regexp_extract(text, p, s), F.lit(" "), F.regexp_extract(text, p, a), F.regexp_extract(text, p, b)))
+    person = F.when(text.rlike(full), sign(full, 1, 2, 3)).when(text.rlike(behind), sign(behind, 1, 2, 3)).when(text.rlike(ahead), sign(ahead, 3, 1, 2))
+    return F.array_compact(F.array(key, F.when(label == "PER", person)))
+
+
+def linked_entities(found: DataFrame) -> DataFrame:
+    """label, surface and entity (the key that stands for all surfaces of one entity) of every distinct surface
+    of spans (label, text): surfaces that share a name's sign are one, unless the sign stands for two different
+    full names, which then link with neither.
+    """
+    rows = found.groupBy("label", F.col("text").alias("surface")).agg(F.count("*").alias("_n")).drop("_n")
+    rows = rows.withColumns({"key": entity_key(F.col("label"), F.col("surface")), "sign": F.get(name_aliases(F.col("label"), F.col("surface")), F.lit(1))})
+    whole = F.when(~F.col("surface").contains("."), F.col("key"))
+    named = rows.where("sign IS NOT NULL").groupBy("label", "sign").agg(F.count_distinct(whole).alias("names"), F.min(F.coalesce(whole, F.col("key"))).alias("first"), F.min(whole).alias("full"))
+    named = named.select(F.col("label").alias("_l"), F.col("sign").alias("_s"), "names", F.coalesce("full", "first").alias("entity"))
+    both = rows.join(named, (F.col("label") == F.col("_l")) & (F.col("sign") == F.col("_s")), "left")
+    return both.select("label", "surface", F.when(F.col("names") <= 1, F.col("entity")).otherwise(F.col("key")).alias("entity"))

@@ -77,3 +77,23 @@ def summary(queue: DataFrame) -> DataFrame:
 
 def by_entity_type(queue: DataFrame) -> DataFrame:
     return queue.groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+def found(queue: DataFrame, finding: str) -> DataFrame:
+    """The finding of an id, or no row."""
+    return queue.where(F.col("finding_id") == finding)
+
+
+def export(queue: DataFrame) -> DataFrame:
+    """One JSON document of each document's findings (by id) and their counts by status."""
+    counts = F.map_from_entries(F.array(*[F.struct(F.lit(s).alias("k"), F.count_if(F.col("status") == s).alias("n")) for s in STATES]))
+    items = F.array_sort(F.collect_list(F.struct("finding_id", "location", "entity_type", "placeholder", "confidence", "status")))
+    return queue.groupBy("document_ref").agg(F.to_json(F.struct(items.alias("items"), counts.alias("summary"))).alias("findings"))
+
+
+def page_with_counts(queue: DataFrame, limit: int | None = None, offset: int = 0, **conditions: object) -> tuple[DataFrame, DataFrame]:
+    """A page of the findings that meet the conditions (all of them without a limit), and scope (all or
+    filtered), status and n of the counts by status."""
+    kept = filtered(queue, **conditions)  # type: ignore[arg-type]
+    counts = [summary(rows).select(F.lit(scope).alias("scope"), "status", "n") for scope, rows in (("all", queue), ("filtered", kept))]
+    return (kept if limit is None else page(kept, limit, offset)), counts[0].unionByName(counts[1])
