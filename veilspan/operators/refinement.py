@@ -219,7 +219,7 @@ def is_act_date(text: Column, start: Column) -> Column:
 def is_place_alone(surface: Column) -> Column:
     """A town, region or country without a street, house or index: no address."""
     place = surface.rlike(r"(?iU)\b(?:г\.|город|област|край|республик|район|страна|россия|рф)\w*") | surface.rlike(r"^\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)*\z")
-    return F.coalesce(place & ~sufficient_address(surface) & ~surface.rlike(r"\d{6}"), F.lit(False))
+    return F.coalesce(place & ~sufficient_address(surface) & ~surface.rlike(r"\d{6}") & ~is_legal_citation(surface), F.lit(False))
 
 
 def person_start(text: Column, start: Column, end: Column) -> Column:
