@@ -2,6 +2,7 @@ from pyspark.sql import functions as F
 
 from veilspan.functions import pages as P
 from veilspan.operators import refinement as R
+from veilspan.plans import filters as Q
 
 
 def one(spark, column, **values):
@@ -17,6 +18,34 @@ def test_recognised_lines(spark):
     assert [(r.t, r.got) for r in df.collect()] == [(r.t, r.want) for r in df.collect()]
 
 
+def test_each_step_reads_the_line_once(spark):
+    """Steps put around each other don't double the expression: before, 63 and 255 searches were planned."""
+    searches = lambda c: spark.range(1).select(F.lit("a").alias("t")).select(c.alias("x"))._jdf.queryExecution().analyzed().toString().count("regexp_extract_all(")
+    assert searches(P.recognised_line(F.col("t"))) == 6
+    nested = F.col("t")
+    for _ in range(8):
+        nested = P.rewritten(nested, "[аb]+", P.to_latin)
+    assert searches(nested) == 8
+
+
+def test_lines_of_one_row_group_on_all_cores(spark, tmp_path):
+    orders = spark.range(1000).select(F.col("id").alias("o_orderkey")).coalesce(1)
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    lines = Q.repaired_lines(spark, str(tmp_path))
+    assert lines.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert {(r.o_orderkey, r.line) for r in lines.collect()} == {(k, f"Договор № {k} «Ромашка», код 770-001, a{k}@mail.ru") for k in range(1000)}
+
+
+def test_lines_with_marks_and_odd_words(spark):
+    lines = {
+        "\uffffиvan@mаil.ru\uffff 77O-ОО1": "\uffffиvan@mail.ru\uffff 770-001", "\uffff": "\uffff", "12O-О45-О12": "120-045-О12", "VIN№ ХTА21099043576182": "VIN№ XTA21099043576182", "БИК:  DЕUTDEFF, DЕUTDЕFF": "БИК: DEUTDEFF, DEUTDEFF",
+        "cоnо": "соnо", "abcо": "abco", "aб": "aб", "абвcex": "абвcex", "дgжs": "дgжs", "«  а  б » «\u00a0в": "«а б» « в", "a_Ь-c@д.e": "a_Ь-c@д.e",
+    }
+    df = spark.createDataFrame(list(lines.items()), "t string, want string").select("want", P.recognised_line(F.col("t")).alias("got"))
+    rows = df.collect()
+    assert [r.got for r in rows] == [r.want for r in rows] and not df.schema["got"].nullable
+
+
 def test_paragraphs(spark):
     text = "ДОГОВОР\n1. Предмет договора\nдлинная строка, которая продолжается на следующей стро-\nке и ещё дальше без конца и без начала,\nдо точки.\nИНН 77\n\nвторой блок:\nпункт | два"
     want = ["ДОГОВОР", "1. Предмет договора", "длинная строка, которая продолжается на следующей строке и ещё дальше без конца и без начала, до точки.", "ИНН 77", "второй блок:", "пункт | два"]

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,36 +21,71 @@ def to_cyrillic(text: Column) -> Column:
     return F.translate(text, LATIN, CYRILLIC)
 
 
-def rewritten(text: Column, pattern: str, change: Callable[[Column], Column]) -> Column:
-    """``text`` with every match of a pattern changed."""
-    found, gaps = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    return F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.transform(found, change), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+#: Put around matches; a text that holds it already is matched and split instead.
+_MARK = "\uffff"
+
+
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: Spark shares nothing that higher-order functions read,
+    so an expression that reads its input twice doubles with each one put around it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _holds(text: Column, held: tuple[str, ...]) -> Column:
+    return reduce(or_, [text.contains(x) for x in held])
+
+
+def rewritten(text: Column, pattern: str, change: Callable[[Column], Column], held: tuple[str, ...] = ("",)) -> Column:
+    """``text`` with every match of a pattern (none of them empty) changed; every match holds one of ``held``."""
+
+    def marked(t: Column) -> Column:
+        def changed(m: Column) -> Column:
+            parts = F.transform(F.split(m, _MARK, -1), lambda part, i: F.when(i % 2 == 1, change(part)).otherwise(part))
+            return F.when(m.contains(_MARK), F.array_join(parts, "")).otherwise(m)
+
+        return bound(F.regexp_replace(t, pattern, f"{_MARK}$0{_MARK}"), changed)
+
+    def split(t: Column) -> Column:
+        found, gaps = F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), F.split(t, pattern, -1)
+        return F.array_join(F.flatten(F.zip_with(gaps, F.concat(F.transform(found, change), F.array(F.lit(""))), lambda g, m: F.array(g, m))), "")
+
+    return bound(text, lambda t: F.when(~_holds(t, held), t).when(t.contains(_MARK), split(t)).otherwise(marked(t)))
+
+
+def _replaced(text: Column, pattern: str, by: str, *held: str) -> Column:
+    """Every match of a pattern replaced; every match holds one of ``held``."""
+    return bound(text, lambda t: F.when(_holds(t, held), F.regexp_replace(t, pattern, by)).otherwise(t))
+
+
+# Words with letters of both alphabets, and of those the ones with one or two letters of one and more, or two, of the other.
+_WORD, _CYR, _LAT = r"\p{L}\d_\-", r"\x{0400}-\x{04ff}", "A-Za-z"
+_MIXED = rf"(?<![{_WORD}])(?=[{_WORD}&&[^{_LAT}]]*+[{_LAT}])(?=[{_WORD}&&[^{_CYR}]]*+[{_CYR}])[{_WORD}]++"
+_FEW = r"^(?=[^{0}]*+[{0}][^{0}]*+[{0}])(?:[^{1}]*+[{1}]){{1,2}}[^{1}]*+\z"
 
 
 def _one_script(word: Column) -> Column:
     """A word of mixed letters in the alphabet that most of its letters are of, if only one or two aren't."""
-    cyrillic = F.char_length(F.regexp_replace(word, r"[^\x{0400}-\x{04ff}]", ""))
-    latin = F.char_length(F.regexp_replace(word, "[^A-Za-z]", ""))
-    return F.when((cyrillic >= 2) & latin.between(1, 2), to_cyrillic(word)).when((latin >= 2) & cyrillic.between(1, 2), to_latin(word)).otherwise(word)
+    return F.when(word.rlike(_FEW.format(_CYR, _LAT)), to_cyrillic(word)).when(word.rlike(_FEW.format(_LAT, _CYR)), to_latin(word)).otherwise(word)
 
 
 def recognised_line(text: Column) -> Column:
     """A line of a recogniser with the usual faults mended, in this order: alphabets of addresses, links,
     bank codes and vehicle numbers; letters O in division codes; number signs and quotes; spaces in
     addresses; words of mixed alphabets; ``bI`` for a letter; spaces.  Null is empty."""
+    # A look at one character before a word bound or a look back of several lengths only spares these where they can't hold.
     s = F.coalesce(text, F.lit(""))
-    s = rewritten(s, r"(?U)\b[\p{L}\d._%+-]+@[\p{L}\d.-]+\.\p{L}{2,}\b", to_latin)
-    s = rewritten(s, r"(?U)\bhttps?://[\p{L}\d.-]+(?:/\S*)?", to_latin)
-    s = rewritten(s, r"(?iU)(?<=\b(?:SWIFT|BIC|БИК|СВИФТ)[:\s]{1,3})[\p{L}\d]{8,11}\b", to_latin)
-    s = rewritten(s, r"(?iU)(?<=\b(?:VIN|ВИН)[:\s№#]{1,3})[\p{L}\d]{17}\b", to_latin)
-    s = rewritten(s, r"(?U)\b[0-9OО]{3}[-—][0-9OО]{3}\b", lambda c: F.translate(c, "OО—", "00-"))
-    s = F.regexp_replace(F.translate(s, "《》中Φ", "«»ФФ"), r"(?U)\bN[º°o]\.?\s*", "№ ")
-    s = F.regexp_replace(s, r"\s*@{2,}\s*", "@")
-    s = F.regexp_replace(s, r"([A-Za-z0-9._%+-]+)\s*@\s*([A-Za-z0-9.-]+)\s*\.\s*([A-Za-z]{2,})", "$1@$2.$3")
-    s = rewritten(s, r"[\p{L}\d_-]+", _one_script)
-    s = F.regexp_replace(F.regexp_replace(s, r"(?<=\p{L})bI", "ы"), r"(?<=\p{L})BI", "Ы")
-    s = F.regexp_replace(F.regexp_replace(s, r"«\s+", "«"), r"\s+»", "»")
-    return F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
+    s = rewritten(s, r"(?U)\b[\p{L}\d._%+-]++@[\p{L}\d.-]+\.\p{L}{2,}\b", to_latin, ("@",))
+    s = rewritten(s, r"(?U)\bhttps?://[\p{L}\d.-]+(?:/\S*)?", to_latin, ("http",))
+    s = rewritten(s, r"(?iU)(?<=[:\s])(?<=\b(?:SWIFT|BIC|БИК|СВИФТ)[:\s]{1,3})[\p{L}\d]{8,11}\b", to_latin)
+    s = rewritten(s, r"(?iU)(?<=[:\s№#])(?<=\b(?:VIN|ВИН)[:\s№#]{1,3})[\p{L}\d]{17}\b", to_latin)
+    s = rewritten(s, r"(?U)(?=[0-9OО])\b[0-9OО]{3}[-—][0-9OО]{3}\b", lambda c: F.translate(c, "OО—", "00-"), ("-", "—"))
+    s = _replaced(F.translate(s, "《》中Φ", "«»ФФ"), r"(?U)(?=N)\bN[º°o]\.?\s*", "№ ", "N")
+    s = _replaced(s, r"\s*@{2,}\s*", "@", "@@")
+    s = _replaced(s, r"([A-Za-z0-9._%+-]++)\s*@\s*([A-Za-z0-9.-]+)\s*\.\s*([A-Za-z]{2,})", "$1@$2.$3", "@")
+    s = rewritten(s, _MIXED, _one_script)
+    s = _replaced(_replaced(s, r"(?<=\p{L})bI", "ы", "bI"), r"(?<=\p{L})BI", "Ы", "BI")
+    s = _replaced(s, r"(?<=«)\s+|\s+(?=»)", "", "«", "»")
+    return F.coalesce(F.trim(F.regexp_replace(s, r"(?U)\s{2,}|[\s&&[^ ]]", " ")), F.lit(""))
 
 
 # Words that begin a part of a document, and captions of its requisites.

@@ -21,6 +21,12 @@ def _orders(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Column]:
     return spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey"), F.col("o_orderkey")
 
 
+def _spread(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """Rows of fewer file pieces than cores dealt to all cores, for work that outweighs moving a key."""
+    cores = spark.sparkContext.defaultParallelism
+    return rows if rows.rdd.getNumPartitions() >= cores else rows.repartition(cores)
+
+
 def surface_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = _orders(spark, sf_dir)
     s = F.element_at(F.array(*map(F.lit, SURFACES)), (k % len(SURFACES) + 1).cast("int"))
@@ -53,7 +59,7 @@ def repaired_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, k = _orders(spark, sf_dir)
     n = k.cast("string")
     line = F.concat(F.lit("Догoвор  No "), n, F.lit(" 《Ромашка 》, код 77O-ОО1, a"), n, F.lit(" @@ mаil.ru"))
-    return rows.select("o_orderkey", P.recognised_line(line).alias("line"))
+    return _spread(spark, rows).select("o_orderkey", P.recognised_line(line).alias("line"))
 
 
 def flowed_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
